@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ownergraph.llm import line_dedup, minhash
+from ownergraph.llm import bpe, line_dedup, minhash, packing
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
+        "op4_packing": packing.op4_packing,
         "op9_minhash": minhash.op9_minhash,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
