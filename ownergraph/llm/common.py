@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch: long texts must not add up in a Python worker.
 BATCH_ROWS = 256
@@ -24,15 +25,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list[dict]]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list[dict]]], schema: str | StructType) -> DataFrame:
     """Each row of ``df`` to any number of rows, in Arrow batches.
 
     ``make`` runs once in each task and returns the row function, so that models and caches are built there.
     """
-    from pyspark.sql.types import StructType
-
     bounded_batches(df.sparkSession)
-    target = StructType.fromDDL(schema)
+    target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ownergraph.llm import bpe, line_dedup, minhash, packing
+from ownergraph.llm import bpe, line_dedup, minhash, packing, secrets
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op4_packing": packing.op4_packing,
+        "op7_secrets": secrets.op7_secrets,
         "op9_minhash": minhash.op9_minhash,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
