@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ownergraph.llm import bpe, line_dedup, minhash, packing, secrets
+from ownergraph.llm import bpe, line_dedup, minhash, packing, secrets, webp
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op4_packing": packing.op4_packing,
         "op7_secrets": secrets.op7_secrets,
+        "op8_webp": webp.op8_webp,
         "op9_minhash": minhash.op9_minhash,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
