@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ownergraph.llm import bpe, line_dedup, minhash, packing, secrets, webp
+from ownergraph.llm import bpe, chat, line_dedup, minhash, packing, secrets, webp
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op4_packing": packing.op4_packing,
+        "op5_chat": chat.op5_chat,
         "op7_secrets": secrets.op7_secrets,
         "op8_webp": webp.op8_webp,
         "op9_minhash": minhash.op9_minhash,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op5_chat": chat.OP5_SQL,
         "op9_minhash": minhash.OP9_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
     }
