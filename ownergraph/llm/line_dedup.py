@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ownergraph.llm.common import BLANKS, LOWER, UPPER, text_or_empty
-from ownergraph.session import table
+from ownergraph.session import materialise, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Stands for a null doc_id: one document, smaller than all others.
@@ -41,12 +41,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .withColumn("__key", F.translate("__key", UPPER, LOWER))
         .select("__id", "__print", "__pos", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), "__key").alias("__h2"))
     )
-    shared = (
+    counted = (
         keyed.groupBy("__h1", "__h2")
         .agg(F.count_distinct("__id").alias("__n"), F.max("__id").alias("__keeper"))
         .where(F.col("__n") >= min_docs)
         .select("__h1", "__h2", "__keeper")
     )
+    shared = materialise(counted, "line-dedup-shared")  # a table of its own, so that Spark may split the join's hot partitions
     gone = (
         keyed.join(shared, ["__h1", "__h2"])
         .where(F.col("__id") < F.col("__keeper"))
