@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ownergraph.llm import bpe, chat, line_dedup, minhash, packing, secrets, webp
+from ownergraph.llm import bpe, chat, fingerprint, line_dedup, minhash, packing, secrets, webp
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_packing": packing.op4_packing,
         "op5_chat": chat.op5_chat,
         "op7_secrets": secrets.op7_secrets,
