@@ -228,16 +228,30 @@ class Codec:
     def decoder(self) -> Decoder:
         return Decoder(self)
 
+    def native(self):
+        """A function that encodes a short pre-token by the same merges in the tiktoken library; None with a word-end suffix."""
+        if self.suffix or self.result != sorted(set(self.result)):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {bytes(self.bytes_of[c] for c in token): i for token, i in self.vocab.items()}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
 
 class Pieces(dict):
     """A bounded memory from pre-tokens to their ids, in the form that ``wrap`` gives them."""
 
-    def __init__(self, codec: Codec, wrap):
+    def __init__(self, codec: Codec, wrap, short=None):
+        """``short`` may encode pre-tokens that are remembered and hold no character that Unicode tables differ on."""
         super().__init__()
-        self.codec, self.wrap = codec, wrap
+        self.codec, self.wrap, self.short = codec, wrap, short
 
     def __missing__(self, piece: str):
-        value = self.wrap(tuple(chain.from_iterable(self.codec.encode_bytes(piece.encode("utf-8", "replace")))))
+        if self.short is not None and len(piece) <= CACHED_CHARS and (piece.isascii() or not self.codec.unsure.search(piece)):
+            value = self.wrap(self.short(piece))
+        else:
+            value = self.wrap(tuple(chain.from_iterable(self.codec.encode_bytes(piece.encode("utf-8", "replace")))))
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES:
                 self.clear()

@@ -13,6 +13,7 @@ import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = EN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.load(shared.value)
-        memory = bpe.Pieces(codec, lambda ids: np.array(ids, "<u4").tobytes())
+        memory = bpe.Pieces(codec, lambda ids: pack_ids(f"<{len(ids)}I", *ids), codec.native())
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows, kept, starts, lengths, sums, totals = [], [], [], [], [], []

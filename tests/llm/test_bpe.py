@@ -93,3 +93,11 @@ def test_operator(spark):
     back = bpe.bpe_decode(bpe.bpe_encode(docs, path), path).collect()
     assert sorted(r.text for r in back) == sorted((r.text or "") for r in docs.collect())
     assert bpe.bpe_digests(docs.limit(0), path).count() == 0
+
+
+def test_the_short_way_gives_the_same():
+    with open(public_tokenizers.path(FILES[1]), "rb") as f:
+        codec = bpe.Codec(f.read())
+    quick, slow = bpe.Pieces(codec, tuple, codec.native()), bpe.Pieces(codec, tuple)
+    for text in [*ODD, *texts(1500, 6)]:
+        assert [x for part in codec.encode(text, quick) for x in part] == [x for part in codec.encode(text, slow) for x in part]
