@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ownergraph.llm import bpe, chat, fingerprint, line_dedup, minhash, packing, secrets, webp
+from ownergraph.llm import bpe, chat, fingerprint, line_dedup, minhash, packing, secrets, toxicity, webp
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_packing": packing.op4_packing,
         "op5_chat": chat.op5_chat,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_secrets": secrets.op7_secrets,
         "op8_webp": webp.op8_webp,
         "op9_minhash": minhash.op9_minhash,
