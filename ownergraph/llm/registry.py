@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ownergraph.llm import bpe, chat, fingerprint, line_dedup, minhash, packing, secrets, toxicity, webp
+from ownergraph.llm import bpe, chat, fingerprint, html_text, line_dedup, minhash, packing, secrets, toxicity, webp
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_html": html_text.op2_html,
         "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_packing": packing.op4_packing,
         "op5_chat": chat.op5_chat,
