@@ -138,29 +138,33 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "doc_id", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("row")
-    )
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text")
+    )  # every use below takes these three columns, so the exchange that carries the texts is made once and reused
     ids = base.groupBy("id").agg(F.max(F.floor(F.char_length("text") / 4)).alias("need"))
     links = materialise(neighbours(ids, parts), "fingerprint-links")
     placed = base.join(links.hint("shuffle_hash"), "id")
     heads = (
-        placed.select(F.col("previous").alias("id"), F.substring("text", F.lit(1), F.col("previous_need").cast("int")).alias("head"))
-        .groupBy("id").agg(F.min("head").alias("head"))
+        placed.select(F.col("previous").alias("id"), F.struct(F.substring("text", F.lit(1), F.col("previous_need").cast("int")).alias("head"), "row").alias("head"))
+        .groupBy("id").agg(F.min("head").alias("head")).select("id", "head.head")
     )
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     texts = placed.join(heads.hint("shuffle_hash"), "id").select(
-        "id", "row", "doc_id", "next", "text",
+        "id", "row", "next", "text",
         F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("head", F.lit(1), quarter)).alias("edited"),
     )
     found = signatures(term_weights(texts, ["id", "row"], ["text", "edited"]), ["id", "row"], {"fingerprint": ("text", "n_text"), "edited_fingerprint": ("edited", "n_edited")}, samples)
     facts = texts.select(
-        "id", "row", "doc_id", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "id", "row", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         *((F.btrim(t, F.lit(BLANKS)) != "").alias(f"has_{f}") for t, f in (("text", "fingerprint"), ("edited", "edited_fingerprint"))),
     )
     made = materialise(
-        facts.join(found.hint("shuffle_hash"), ["id", "row"], "left").select(
-            "id", "doc_id", "next", "n_chars", "edited_sha256",
+        # rows of one id are told apart beside the key, so that both sides stay dealt by id as they are
+        facts.join(
+            found.withColumnsRenamed({"id": "__id", "row": "__row"}).hint("shuffle_hash"),
+            (F.col("id") == F.col("__id")) & (F.col("row") - F.col("__row") == 0), "left",
+        ).select(
+            "id", F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "next", "n_chars", "edited_sha256",
             *(F.when(F.col(f"has_{f}"), F.col(f)).otherwise("").alias(f) for f in ("fingerprint", "edited_fingerprint")),
         ),
         "fingerprint-made",
