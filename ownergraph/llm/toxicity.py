@@ -55,7 +55,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, toxic, fold`` of the rows that may be learned from: remainder 0 or 2.  Labels that disagree count as toxic."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold_of("doc_id") != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").where(fold_of("doc_id") != 1)
-    return rows.join(known, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold_of("doc_id").cast("int").alias("fold"))
+    return rows.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold_of("doc_id").cast("int").alias("fold"))
 
 
 def count_grams(train: DataFrame) -> DataFrame:
