@@ -36,3 +36,42 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = stepped.select("node", "component")
         if stepped.where("was <> component").isEmpty():
             return labels
+
+
+def canonical_components(nodes: DataFrame, edges: DataFrame, node: str = "idx", src: str = "src", dst: str = "dst") -> DataFrame:
+    """``idx, component`` for every node; components are numbered by size, larger first, then by smallest node."""
+    from ownergraph.operators.graph import dense_index
+
+    found = connected_components(edges, src, dst)
+    labelled = nodes.select(node).join(found, F.col(node) == F.col("node"), "left").select(node, F.coalesce("component", node).alias("__least"))
+    sizes = labelled.groupBy("__least").agg(F.count("*").alias("__n")).withColumn("__order", F.struct((-F.col("__n")).alias("n"), "__least"))
+    numbered = dense_index(sizes, "__order", "component")
+    return labelled.join(numbered.select("__least", "component"), "__least").select(node, "component")
+
+
+def component_sizes(components: DataFrame) -> DataFrame:
+    return components.groupBy("component").agg(F.count("*").alias("size"))
+
+
+def check_canonical(components: DataFrame, node: str = "idx") -> None:
+    """Sizes fall, and among equals the smallest node rises."""
+    from ownergraph.errors import LabelNotCanonical
+
+    facts = components.groupBy("component").agg(F.count("*").alias("n"), F.min(node).alias("least"))
+    after = facts.select((F.col("component") - 1).alias("component"), F.col("n").alias("n2"), F.col("least").alias("least2"))
+    bad = facts.join(after, "component").where("n2 > n OR (n2 = n AND least2 < least)")
+    first = facts.agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).first()
+    if not bad.isEmpty() or (first["n"] and (first["a"] != 0 or first["b"] != first["n"] - 1)):
+        raise LabelNotCanonical("components are not numbered by size and smallest node")
+
+
+def component_summary(components: DataFrame) -> DataFrame:
+    """``componentes, gigante, fora_do_gigante, isolados``"""
+    return component_sizes(components).agg(
+        F.count("*").alias("componentes"), F.max("size").alias("gigante"), (F.sum("size") - F.max("size")).alias("fora_do_gigante"),
+        F.count_if(F.col("size") == 1).alias("isolados"),
+    )
+
+
+def largest_components(components: DataFrame, k: int = 10) -> DataFrame:
+    return component_sizes(components).orderBy(F.desc("size"), "component").limit(k)
