@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,6 +54,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Hold a table that is small beside its inputs, in memory or else on disk; what a lost executor held is made again.
+
+    Call ``unpersist`` once nothing reads it any more.  For loops, cut the lineage with ``materialise`` now and then.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
