@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ownergraph.session import keep, materialise
+from ownergraph.session import materialise
 
 
-#: Rounds between two written tables.
-CUT_EVERY = 4
+#: Shuffle partitions to a file of the tables between rounds.
+SHRINK = 4
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node of an edge; the component is its smallest node.
 
     Every round takes the smallest label among a node and its neighbours and then the label of that
-    label, so a chain of n nodes needs about log(n) rounds and a star two.  Rounds are held in memory and every
-    few of them end in a written table, so lineage stays short and a lost executor costs a few rounds at most.
-    Null ends and loops link nothing.
+    label, so a chain of n nodes needs about log(n) rounds and a star two.  Each round ends in a written
+    table: no lineage grows and a lost executor costs one round.  Null ends and loops link nothing.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = keep(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    held = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    labels, rounds = held, 0
+    both = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges", SHRINK)
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
     while True:
         near = (
             both.join(labels, both.a == labels.node)
@@ -34,16 +32,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             "node", F.col("component").alias("was"), F.least("component", "near").alias("c")
         )
         jump = labels.select(F.col("node").alias("c"), F.col("component").alias("next"))
-        made = lower.join(jump, "c", "left").select("node", "was", F.least("c", "next").alias("component"))
-        rounds += 1
-        stepped = materialise(made, "cc-labels") if rounds % CUT_EVERY == 0 else keep(made)
+        stepped = materialise(
+            lower.join(jump, "c", "left").select("node", "was", F.least("c", "next").alias("component")), "cc-labels", SHRINK
+        )
         labels = stepped.select("node", "component")
         if stepped.where("was <> component").isEmpty():
-            both.unpersist()
             return labels
-        if rounds % CUT_EVERY == 0:
-            held.unpersist()
-        held = stepped
 
 
 def canonical_components(nodes: DataFrame, edges: DataFrame, node: str = "idx", src: str = "src", dst: str = "dst") -> DataFrame:

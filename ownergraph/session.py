@@ -41,12 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, shrink: int = 1) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut of the lineage that outlives any executor.
 
-    The files go when the application ends.
+    ``shrink`` joins so many shuffle partitions in one file, for tables that are small beside their inputs.  The
+    files go when the application ends.
     """
     spark = df.sparkSession
+    if shrink > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shrink))
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,7 +60,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Hold a table that is small beside its inputs, in memory or else on disk; what a lost executor held is made again.
 
-    Call ``unpersist`` once nothing reads it any more.  For loops, cut the lineage with ``materialise`` now and then.
+    Call ``unpersist`` once nothing reads it any more.  Not for loops: plans of plans grow; there ``materialise`` cuts them.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
