@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ownergraph.llm.common import BLANKS, LOWER, UPPER, text_or_empty
-from ownergraph.session import materialise, table
+from ownergraph.session import keep, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Stands for a null doc_id: one document, smaller than all others.
@@ -47,7 +47,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .where(F.col("__n") >= min_docs)
         .select("__h1", "__h2", "__keeper")
     )
-    shared = materialise(counted, "line-dedup-shared")  # a table of its own, so that Spark may split the join's hot partitions
+    shared = keep(counted)  # a table of its own, so that Spark may split the join's hot partitions
     gone = (
         keyed.join(shared, ["__h1", "__h2"])
         .where(F.col("__id") < F.col("__keeper"))
