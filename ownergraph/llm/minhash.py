@@ -3,8 +3,8 @@
 Documents with equal shingle sets are one class first, so copies cost one row each and no pair.  Classes
 meet in band buckets; every member of a bucket is compared with the bucket's centre only, so a bucket of n
 gives n - 1 pairs.  Every candidate is confirmed on the full sets.  A star can miss two members that are
-alike while neither is like the centre: further rounds give each bucket that still holds several components
-another centre, until a round finds no new link.
+alike while neither is like the centre: further turns compare the components that still share a bucket, by
+other members each time, until a turn finds no new link.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from ownergraph.operators.components import connected_components
 from ownergraph.session import materialise, table
 
 BINS, ROWS = 128, 4
+#: Shuffle partitions to a file of the components between turns.
+SHRINK = 4
 BANDS = BINS // ROWS
 _SHIFT = np.uint64(64 - 7)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
@@ -176,20 +178,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         "minhash-texts",
     )
     pairs = buckets.where("class_key <> centre").select(F.col("centre").alias("a"), F.col("class_key").alias("b")).distinct()
-    links = materialise(_confirmed(pairs, texts, shingle_words, percent), "minhash-links")
-    tried = materialise(pairs, "minhash-tried")
+    tried = materialise(pairs, "minhash-tried", SHRINK)
+    parts = connected_components(materialise(_confirmed(tried, texts, shingle_words, percent), "minhash-links"))
+    turn = 0
     while True:
-        parts = connected_components(links)
-        pairs = _next_stars(buckets, parts).join(tried, ["a", "b"], "left_anti").join(
-            tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"
-        )
-        pairs = materialise(pairs, "minhash-tried")
-        if pairs.isEmpty():
-            break
+        turn += 1
+        pairs = materialise(_next_stars(buckets, parts, turn).join(tried, ["a", "b"], "left_anti"), "minhash-tried", SHRINK)
+        tried = tried.unionByName(pairs)
         found = materialise(_confirmed(pairs, texts, shingle_words, percent), "minhash-links")
         if found.isEmpty():
             break
-        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        parts = _merged(parts, found)
     smallest = (
         parts.join(classes, F.col("node") == F.col("class_key"))
         .groupBy("component").agg(F.min("first.doc_id").alias("smallest"))
@@ -205,19 +204,37 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     )
 
 
-def _next_stars(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Candidate pairs across the components that still share a bucket: each other member with the smallest of
-    those outside the first centre's component, and each of these with the centre of the first."""
-    labelled = buckets.join(parts, F.col("class_key") == F.col("node"), "left").select(
-        "band", "class_key", F.coalesce("component", "class_key").alias("part")
+def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after further links; only the components that these touch are walked through."""
+    part = parts.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
+    ends = found
+    for end in ("src", "dst"):
+        ends = ends.join(part, F.col(end) == F.col("__n"), "left").withColumn(end, F.coalesce("__c", end)).drop("__n", "__c")
+    step = connected_components(ends)
+    moved = parts.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component")
+    )
+    return materialise(moved.unionByName(step.join(parts, "node", "left_anti")), "minhash-parts", SHRINK)
+
+
+def _next_stars(buckets: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs across the components that still share a bucket.
+
+    Each component in a bucket is stood for by one member, another one in each bucket and turn; the members that stand
+    for the smallest and for the largest component are centres of two stars.  So a bucket gives two pairs a component.
+    """
+    standing = (
+        buckets.join(parts, F.col("class_key") == F.col("node"), "left")
+        .groupBy("band", F.coalesce("component", "class_key").alias("part"))
+        .agg(F.min_by("class_key", F.xxhash64("class_key", "band", F.lit(turn))).alias("class_key"))
     )
-    edges = labelled.groupBy("band").agg(
+    edges = standing.groupBy("band").agg(
         F.min(F.struct("part", "class_key")).alias("low"), F.max(F.struct("part", "class_key")).alias("high")
     ).where("low.part <> high.part")
-    met = labelled.join(edges, "band")
+    met = standing.join(edges, "band")
     to_low = met.where("part <> low.part").select(F.col("low.class_key").alias("a"), F.col("class_key").alias("b"))
-    to_high = met.where("part <> high.part").select(F.col("high.class_key").alias("a"), F.col("class_key").alias("b"))
-    return to_low.unionByName(to_high).distinct()
+    to_high = met.where("part <> high.part AND part <> low.part").select(F.col("high.class_key").alias("a"), F.col("class_key").alias("b"))
+    return to_low.unionByName(to_high).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
