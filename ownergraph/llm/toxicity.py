@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ownergraph.llm.common import bounded_batches
-from ownergraph.session import materialise, table
+from ownergraph.session import keep, materialise, table
 
 #: Letters of an n-gram, and the absolute discount.
 ORDER, DISCOUNT = 5, 0.75
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS, calibrat
     """
     spark = docs.sparkSession
     train = materialise(labelled(docs, labels), "toxicity-train")
-    grams = materialise(count_grams(train), "toxicity-grams")
+    grams = keep(count_grams(train))
     total = F.col("n00") + F.col("n01") + F.col("n20") + F.col("n21")
     sizes = {r["size"]: r["count"] for r in grams.groupBy(F.floor(F.log2(total)).alias("size")).count().collect()}  # at most 64 rows
     least, kept = 0, 0
@@ -196,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS, calibrat
             break
         kept += sizes[size]
     rows = grams.where(total >= F.lit(2**least)).toArrow().to_pydict()  # at most max_grams rows
+    grams.unpersist()
 
     def counts(*columns: str) -> dict[str, int]:
         found = (sum(x) for x in zip(*(rows[c] for c in columns), strict=True))
