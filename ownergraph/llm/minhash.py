@@ -4,7 +4,8 @@ Documents with equal shingle sets are one class first, so copies cost one row ea
 meet in band buckets; every member of a bucket is compared with the bucket's centre only, so a bucket of n
 gives n - 1 pairs.  Every candidate is confirmed on the full sets.  A star can miss two members that are
 alike while neither is like the centre: further turns compare the components that still share a bucket, by
-other members each time, until a turn finds no new link.
+other members each time, until a turn finds no new link.  What then still shares a bucket across components is
+joined exactly, by the rarest shingles of the full sets, so that no alike pair of a bucket is left untried.
 """
 
 from __future__ import annotations
@@ -189,6 +190,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         if found.isEmpty():
             break
         parts = _merged(parts, found)
+    pairs = _exact_pairs(_still_open(buckets, parts), texts, shingle_words, percent).join(tried, ["a", "b"], "left_anti")
+    found = materialise(_confirmed(materialise(pairs, "minhash-tried", SHRINK), texts, shingle_words, percent), "minhash-links")
+    if not found.isEmpty():
+        parts = _merged(parts, found)
     smallest = (
         parts.join(classes, F.col("node") == F.col("class_key"))
         .groupBy("component").agg(F.min("first.doc_id").alias("smallest"))
@@ -237,6 +242,71 @@ def _next_stars(buckets: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
     return to_low.unionByName(to_high).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _still_open(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``class_key, part`` of the members of buckets that may hold untried pairs across components after the stars.
+
+    Up to three components of one member each were compared in full.
+    """
+    labelled = buckets.join(parts, F.col("class_key") == F.col("node"), "left").select(
+        "band", "class_key", F.coalesce("component", "class_key").alias("part")
+    )
+    bands = (
+        labelled.groupBy("band", "part").agg(F.count("*").alias("n"))
+        .groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("members"))
+        .where("parts > 1 AND (parts > 3 OR members > parts)")
+    )
+    return labelled.join(bands, "band").select("class_key", "part").distinct()
+
+
+def _exact_pairs(members: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts, among them all that reach the similarity: a prefix-filter join on the full sets.
+
+    Shingles that one part alone has come first in the common order, then rare before frequent ones.  Two alike sets of
+    n and m shingles share one of their first n - ceil(n * percent / 100) + 1, and from the first that they share on,
+    enough are left for the overlap; a passage that thousands hold stands at the end of that order.
+    """
+    bounded_batches(members.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, shingle_words, hashes).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class_key"), batch.column("part"), pa.array(sets, pa.list_(pa.int64()))], names=["class_key", "part", "shingles"]
+            )
+
+    sets = materialise(
+        members.join(texts, "class_key").select("class_key", "part", "text").mapInArrow(run, "class_key binary, part binary, shingles array<long>"),
+        "minhash-sets",
+    )
+    items = sets.select("class_key", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    across = (
+        items.groupBy("x").agg(F.count("*").alias("often"), F.min("part").alias("low"), F.max("part").alias("high"))
+        .where("low <> high").select("x", "often")
+    )
+    need = F.ceil(F.col("n") * percent / 100)
+    prefixes = (
+        items.join(across, "x")
+        .groupBy("class_key", "part", "n").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("ordered"))
+        .withColumn("m", F.size("ordered")).where(F.col("m") >= need)
+        .select("class_key", "part", "n", "m", F.posexplode(F.slice("ordered", F.lit(1), (F.col("m") - need + 1).cast("int"))).alias("at", "item"))
+        .select("item.x", "part", F.struct("class_key", "n", (F.col("m") - F.col("at")).alias("rest")).alias("member"))
+    )
+    held = materialise(prefixes.groupBy("x", "part").agg(F.collect_list("member").alias("members")), "minhash-prefixes", SHRINK)
+    several = held.groupBy("x").agg(F.count("*").alias("parts")).where("parts > 1").select("x")
+    held = held.join(several, "x")
+    met = held.select("x", F.col("part").alias("part_a"), F.col("members").alias("as")).join(
+        held.select("x", F.col("part").alias("part_b"), F.col("members").alias("bs")), "x"
+    ).where("part_a < part_b")
+    pairs = met.select(F.explode("as").alias("l"), "bs").select("l", F.explode("bs").alias("r"))
+    fits = (
+        F.least("l.rest", "r.rest") * (100 + percent) >= (F.col("l.n") + F.col("r.n")) * percent
+    ) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
+    return pairs.where(fits).select(
+        F.least("l.class_key", "r.class_key").alias("a"), F.greatest("l.class_key", "r.class_key").alias("b")
+    ).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that no smaller doc_id is a near copy of; all columns as they were."""
     verdict = near_duplicates(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()

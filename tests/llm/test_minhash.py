@@ -103,3 +103,14 @@ def test_hot_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = minhash.near_duplicates(docs, 2).groupBy("component_id").count().collect()
     assert [(r.component_id, r["count"]) for r in got] == [(0, 4500)]
+
+
+def test_alike_in_the_middle_of_crowded_buckets(spark):
+    """Thousands share a passage and fill every bucket; the few that are alike are no centre of any."""
+    passage = " ".join(f"p{i}" for i in range(101))  # 100 shingles of two words
+    own = lambda i, n: " ".join(f"o{i}x{j}" for j in range(n))
+    rows = [(i, f"{passage} {own(i, 40)}") for i in range(3000)]  # 100 of 180 among themselves, 100 of 150 with the others
+    rows += [(5000 + i, f"{passage} {own(5000 + i, 10)}") for i in range(12)]  # 100 of 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2).collect()}
+    assert got == {i: min(i, 5000) for i, _ in rows}
