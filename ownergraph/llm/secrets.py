@@ -30,8 +30,9 @@ _DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-
 _DIGEST_NAME = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)|integrity|checksum|digest|etag|commit)[\"']?[\s:=_-]*[\"']?$", re.IGNORECASE)
 _NAMED = re.compile(r"sha(?:1|256|384|512)-")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words joined by separators or capitals, with at most a short number each: names, paths, slugs.
-_WORDS = re.compile(r"(?:[A-Z]*[a-z]{2,}[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}|[0-9]{1,8})(?:[/_+=-]*(?:[A-Z]*[a-z]{2,}[0-9]{0,4}|[A-Z]{2,}[0-9]{0,4}|[0-9]{1,8}))*[/_+=-]*")
+#: Words and short numbers with separators between all of them: names, paths, slugs.  Each part is of one kind, so the pattern is unambiguous.
+_NAMES = re.compile(r"[/_+=-]*(?:[A-Za-z]+|[0-9]{1,8})(?:[/_+=-]+(?:[A-Za-z]+|[0-9]{1,8}))+[/_+=-]*")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _KNOWN_IDS = re.compile(r"https?://\S*$|www\.\S*$|[\w.+-]+@$|@[\w.-]*$")
 
 
@@ -56,9 +57,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _is_name(run: str, coder) -> bool:
+    """Whether separated parts are numbers and words; a word is one token, or takes no more tokens than the threshold."""
+    if not _NAMES.fullmatch(run):
+        return False
+    sizes = ((len(w), len(coder.encode_ordinary(w))) for w in _LETTERS.findall(run))
+    return all(tokens == 1 or letters >= MAX_RATIO * tokens for letters, tokens in sizes)
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], coder) -> list[tuple[int, int, str]]:
-    """Runs with letters and digits, outside of the base spans, that are no digest, identifier or words, and that
-    take more than a token for each ``MAX_RATIO`` characters."""
+    """Runs with letters and digits, outside of the base spans, that are no digest or identifier, and that take more
+    than a token for each ``MAX_RATIO`` characters; names whose numbers alone take the tokens are identifiers."""
     out = []
     for m in _RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
@@ -66,12 +75,12 @@ def random_spans(text: str, base: list[tuple[int, int, str]], coder) -> list[tup
             continue
         if any(a < end and start < b for a, b, _ in base):
             continue
-        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NAMED.match(run) or _WORDS.fullmatch(run):
+        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NAMED.match(run):
             continue
         ahead = text[max(0, start - 200) : start]
         if _DIGEST_NAME.search(ahead[-24:]) or _KNOWN_IDS.search(ahead) or text[end : end + 1] == "@":
             continue
-        if len(run) < MAX_RATIO * len(coder.encode_ordinary(run)):
+        if len(run) < MAX_RATIO * len(coder.encode_ordinary(run)) and not _is_name(run, coder):
             out.append((start, end, "random"))
     return out
 
