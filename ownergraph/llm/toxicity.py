@@ -13,18 +13,21 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ownergraph.llm.common import bounded_batches
-from ownergraph.session import keep, materialise, table
+from ownergraph.session import materialise, table
 
 #: Letters of an n-gram, and the absolute discount.
 ORDER, DISCOUNT = 5, 0.75
-#: The most n-grams of a model: rarer ones are left to the shared orders.  Bounds what is broadcast.
+#: The most n-grams that tasks hold in memory.  Words with others get their values by a join; no score depends on it.
 MAX_GRAMS = 1_000_000
 #: Labelled documents that the logistic curve is fitted on: those whose hash is smallest.
 CALIBRATION_DOCS = 20_000
@@ -32,6 +35,10 @@ CALIBRATION_DOCS = 20_000
 UNIFORM = 1 / 200
 #: Score from which a document is predicted to be toxic.
 THRESHOLD = 0.7
+#: The model of all rows; those that score folds 0 and 2 go by the fold.
+WHOLE = -1
+#: Shuffle partitions to a file of the orders' tables.
+SHRINK = 4
 #: Words that a task remembers, and the longest of them.
 CACHED_WORDS, CACHED_CHARS = 200_000, 40
 _WORD = re.compile(r"[^\W\d_]+")
@@ -90,7 +97,10 @@ def count_grams(train: DataFrame) -> DataFrame:
 
 
 def kneser_ney(ordinary: dict[str, int], toxic: dict[str, int]) -> dict[str, float]:
-    """Log of toxic by ordinary probability of an n-gram's last letter: by n-gram, and by context for n-grams that neither class has."""
+    """Log of toxic by ordinary probability of an n-gram's last letter: by n-gram, and by context for n-grams that neither class has.
+
+    The plain form of ``ratios``, for tests.
+    """
     classes = (ordinary, toxic)
     seen = [(Counter(), Counter()) for _ in classes]  # by context: occurrences and different letters
     for (total, kinds), counts in zip(seen, classes, strict=True):
@@ -134,17 +144,63 @@ def kneser_ney(ordinary: dict[str, int], toxic: dict[str, int]) -> dict[str, flo
     return ratio
 
 
+def ratios(grams: DataFrame) -> DataFrame:
+    """``model, gram, often, ratio``: ``kneser_ney`` of every model over all of ``grams``; contexts have a null ``often``.
+
+    ``WHOLE`` learns from both folds, and each fold's model from the other one.
+    """
+    model = lambda m, n0, n1: F.struct(F.lit(m).alias("model"), "gram", F.expr(n0).alias("n0"), F.expr(n1).alias("n1"))
+    models = F.array(model(WHOLE, "n00 + n20", "n01 + n21"), model(2, "n00", "n01"), model(0, "n20", "n21"))
+    each = materialise(grams.select(F.explode(models).alias("m")).select("m.*").where("n0 + n1 > 0"), "toxicity-grams")
+    orders, current = {}, each
+    for order in range(ORDER - 1, 0, -1):
+        counts = current.groupBy("model", F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("c"))
+        orders[order] = current = materialise(counts, "toxicity-order", SHRINK)
+    shared = None
+    for order in range(1, ORDER):
+        counts = orders[order].withColumn("h", F.substring("gram", 1, order - 1))
+        totals = counts.groupBy("model", "h").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
+        rows = counts.join(totals, ["model", "h"])
+        if shared is None:
+            rows = rows.withColumn("below", F.lit(UNIFORM))
+        else:
+            rows = rows.withColumn("rest", F.substring("gram", 2, order - 1)).join(
+                shared.select("model", F.col("gram").alias("rest"), F.col("p").alias("below")), ["model", "rest"]
+            )
+        p = F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("n") + DISCOUNT * F.col("kinds") / F.col("n") * F.col("below")
+        shared = materialise(rows.select("model", "gram", p.alias("p")), "toxicity-shared", SHRINK)
+    tops = each.withColumn("h", F.substring("gram", 1, ORDER - 1))
+    seen = tops.groupBy("model", "h").agg(*(
+        x for y in "01" for x in (F.sum(f"n{y}").alias(f"t{y}"), F.count_if(F.col(f"n{y}") > 0).alias(f"k{y}"))
+    ))
+    left_over = {y: F.when(F.col(f"t{y}") > 0, DISCOUNT * F.col(f"k{y}") / F.col(f"t{y}")).otherwise(1.0) for y in "01"}
+    own = {y: F.when(F.col(f"t{y}") > 0, F.greatest(F.col(f"n{y}") - DISCOUNT, F.lit(0.0)) / F.col(f"t{y}")).otherwise(0.0) for y in "01"}
+    p = {y: own[y] + left_over[y] * F.col("below") for y in "01"}
+    joined = tops.join(seen, ["model", "h"]).withColumn("rest", F.substring("gram", 2, ORDER - 1)).join(
+        shared.select("model", F.col("gram").alias("rest"), F.col("p").alias("below")), ["model", "rest"]
+    )
+    found = joined.select("model", "gram", (F.col("n0") + F.col("n1")).alias("often"), F.log(p["1"] / p["0"]).alias("ratio"))
+    contexts = seen.select("model", F.col("h").alias("gram"), F.lit(None).cast("long").alias("often"), F.log(left_over["1"] / left_over["0"]).alias("ratio"))
+    return materialise(found.unionByName(contexts), "toxicity-ratios", SHRINK)
+
+
 class Evidence(dict):
-    """Log-likelihood ratios of words under one model, remembered up to a bound."""
+    """Log-likelihood ratios of words under one model, remembered up to a bound.
+
+    Where ``ratio`` is not complete, a word with an n-gram that is not there has None.
+    """
 
-    def __init__(self, ratio: dict[str, float]):
+    def __init__(self, ratio: dict[str, float], complete: bool = True):
         super().__init__()
-        self.ratio = ratio
+        self.ratio, self.complete = ratio, complete
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> float | None:
         get, value = self.ratio.get, 0.0
         for g in grams_of(word):
             r = get(g)
+            if r is None and not self.complete:
+                value = None
+                break
             value += get(g[:-1], 0.0) if r is None else r
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
@@ -152,10 +208,68 @@ class Evidence(dict):
             self[word] = value
         return value
 
-    def of(self, text: str | None) -> tuple[float, float]:
-        """The ratio by the number of words, and that of the most telling word."""
-        values = list(map(self.__getitem__, words_of(text)))
-        return (sum(values) / len(values), max(0.0, *values)) if values else (0.0, 0.0)
+    def of(self, text: str | None) -> tuple[float, int, float, list[dict]]:
+        """Sum over the words, their number, the most telling word's value, and the words without a value here."""
+        words = words_of(text)
+        values = list(map(self.__getitem__, words))
+        late = []
+        if not self.complete:
+            late = [{"word": w, "n": n} for w, n in Counter(w for w, v in zip(words, values, strict=True) if v is None).items()]
+            values = [v for v in values if v is not None]
+        return sum(values), len(words), max(0.0, *values) if values else 0.0, late
+
+
+class Model(NamedTuple):
+    """All ratios as a table, those that tasks hold by model, whether these are all, and the curve."""
+
+    table: DataFrame
+    held: Broadcast
+    complete: bool
+    fitted: tuple | None
+
+
+def word_values(words: DataFrame, table: DataFrame) -> DataFrame:
+    """``model, word, value`` of distinct ``model, word``, from all ratios."""
+    padded = F.concat(F.lit(_START * (ORDER - 1)), F.col("word"), F.lit(_END))
+    at = F.sequence(F.lit(1), F.char_length("word") + 1)
+    grams = words.select("model", "word", F.explode(F.transform(at, lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"))
+    of = lambda key, name: table.select("model", F.col("gram").alias(key), F.col("ratio").alias(name))
+    known = grams.withColumn("h", F.substring("gram", 1, ORDER - 1)).join(of("gram", "own"), ["model", "gram"], "left").join(of("h", "context"), ["model", "h"], "left")
+    return known.groupBy("model", "word").agg(F.sum(F.coalesce("own", "context", F.lit(0.0))).alias("value"))
+
+
+def evidence(rows: DataFrame, model: Model, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns of ``rows``, and ``__mean``, ``__top``: the ratio by the number of words, and that of the
+    most telling word, of ``text`` under the model in ``__model``."""
+    bounded_batches(rows.sparkSession)
+    held, complete = model.held, model.complete
+    own = "__total double, __words long, __top double, __late array<struct<word: string, n: long>>"
+    names = [f.name for f in StructType.fromDDL(own)]
+    late_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = {m: Evidence(ratio, complete) for m, ratio in held.value.items()}
+        for batch in batches:
+            pairs = zip(batch.column("__model").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            found = [by[m].of(t) for m, t in pairs]
+            total, words, top, late = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*carried, "__model")), pa.array(total, pa.float64()), pa.array(words, pa.int64()), pa.array(top, pa.float64()), pa.array(late, late_type)],
+                names=[*carried, "__model", *names],
+            )
+
+    schema = StructType([*rows.select(*carried, "__model").schema.fields, *StructType.fromDDL(own).fields])
+    measured = rows.mapInArrow(run, schema)
+    total, top = F.col("__total"), F.col("__top")
+    if not complete:
+        measured = materialise(measured.withColumn("__row", F.monotonically_increasing_id()), "toxicity-measured")
+        late = measured.select("__row", F.col("__model").alias("model"), F.explode("__late").alias("l")).select("__row", "model", "l.word", "l.n")
+        values = word_values(late.select("model", "word").distinct(), model.table)
+        added = late.join(values, ["model", "word"]).groupBy("__row").agg(F.sum(F.col("n") * F.col("value")).alias("__more"), F.max("value").alias("__high"))
+        measured = measured.join(added, "__row", "left")
+        total, top = total + F.coalesce("__more", F.lit(0.0)), F.greatest("__top", "__high")
+    mean = F.when(F.col("__words") > 0, total / F.col("__words")).otherwise(0.0)
+    return measured.select(*carried, mean.alias("__mean"), top.alias("__top"))
 
 
 def logistic(features: np.ndarray, classes: np.ndarray, ridge: float = 1e-2) -> tuple:
@@ -178,98 +292,73 @@ def curve(fitted: tuple, features: tuple[float, float]) -> float:
     return float(1 / (1 + math.exp(-min(30.0, max(-30.0, x)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS, calibration_docs: int = CALIBRATION_DOCS) -> tuple[dict[str, float], tuple] | float:
+def fit(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS, calibration_docs: int = CALIBRATION_DOCS) -> Model | float:
     """The model of all labelled rows outside of remainder 1 and its curve; without both classes, a constant score.
 
-    All these rows are counted.  Of their n-grams at most ``max_grams`` stay (by powers of two of the count), and
-    the curve takes the ``calibration_docs`` of smallest hash, each scored by a model of the other fold.
+    All these rows are counted, and all their n-grams are in the model's table; at most ``max_grams`` of each model (by
+    powers of two of the count) are also held by the tasks.  The curve takes the ``calibration_docs`` of smallest hash,
+    each scored by a model of the other fold.
     """
     spark = docs.sparkSession
     train = materialise(labelled(docs, labels), "toxicity-train")
-    grams = keep(count_grams(train))
-    total = F.col("n00") + F.col("n01") + F.col("n20") + F.col("n21")
-    sizes = {r["size"]: r["count"] for r in grams.groupBy(F.floor(F.log2(total)).alias("size")).count().collect()}  # at most 64 rows
+    present = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    if len(present) < 2:
+        return float(min(present, default=0))
+    found = ratios(count_grams(train))
+    size = F.floor(F.log2("often"))
+    sizes = {r["size"]: r["count"] for r in found.where(f"model = {WHOLE} AND often IS NOT NULL").groupBy(size.alias("size")).count().collect()}  # at most 64 rows
     least, kept = 0, 0
     for size in sorted(sizes, reverse=True):
         if kept + sizes[size] > max_grams:
             least = size + 1
             break
         kept += sizes[size]
-    rows = grams.where(total >= F.lit(2**least)).toArrow().to_pydict()  # at most max_grams rows
-    grams.unpersist()
-
-    def counts(*columns: str) -> dict[str, int]:
-        found = (sum(x) for x in zip(*(rows[c] for c in columns), strict=True))
-        return {g: n for g, n in zip(rows["gram"], found, strict=True) if n}
+    complete = least == 0
+    wanted = found if complete else found.where(F.col("often") >= F.lit(2**least))
+    rows = wanted.select("model", "gram", "ratio").toArrow().to_pydict()  # at most max_grams n-grams a model, and their contexts
+    by: dict[int, dict[str, float]] = {WHOLE: {}, 0: {}, 2: {}}
+    for m, g, r in zip(rows["model"], rows["gram"], rows["ratio"], strict=True):
+        by[m][g] = r
+    model = Model(found, spark.sparkContext.broadcast({WHOLE: by[WHOLE]}), complete, None)
+    halves = model._replace(held=spark.sparkContext.broadcast({0: by[0], 2: by[2]}))
 
     ids = train.select("doc_id", "toxic", "fold").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_docs)
-    present = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    if len(present) < 2:
-        return float(min(present, default=0))
-    whole = kneser_ney(counts("n00", "n20"), counts("n01", "n21"))
-    halves = spark.sparkContext.broadcast({2: kneser_ney(counts("n00"), counts("n01")), 0: kneser_ney(counts("n20"), counts("n21"))})
-    bounded_batches(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = {fold: Evidence(ratio) for fold, ratio in halves.value.items()}
-        for batch in batches:
-            found = [(r["toxic"], *by[r["fold"]].of(r["text"])) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["toxic", "mean", "top"])
-
     chosen = train.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    sample = chosen.select("toxic", "fold", "text").mapInArrow(run, "toxic long, mean double, top double").toArrow().to_pydict()
+    sample = evidence(chosen.select("toxic", "text", F.col("fold").alias("__model")), halves, ["toxic"]).toArrow().to_pydict()
     classes = np.array(sample["toxic"], float)
     if len(set(classes)) < 2:
         return float(min(present))
-    return whole, logistic(np.c_[sample["mean"], sample["top"]], classes)
+    return model._replace(fitted=logistic(np.c_[sample["__mean"], sample["__top"]], classes))
 
 
-def scorer(model: tuple | float):
-    """The score of a text under a fitted model."""
+def scored(docs: DataFrame, model: Model | float, carried: list[str]) -> DataFrame:
+    """The ``carried`` columns of ``docs`` and ``__score``, from the whole text alone."""
     if isinstance(model, float):
-        return lambda text: model
-    ratio, fitted = model
-    evidence = Evidence(ratio)
-    return lambda text: curve(fitted, evidence.of(text))
+        return docs.select(*carried, F.lit(model).alias("__score"))
+    mean, spread, w = model.fitted
+    x = F.lit(float(w[0]))
+    for i, name in enumerate(("__mean", "__top")):
+        x = x + float(w[i + 1]) * (F.col(name) - float(mean[i])) / float(spread[i])
+    score = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), x))))
+    return evidence(docs.withColumn("__model", F.lit(WHOLE)), model, carried).select(*carried, score.alias("__score"))
 
 
-def score_toxicity(docs: DataFrame, model: tuple | float, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row, from the whole text alone.
 
     Defined results: null and empty texts, and texts without letters, have no evidence and get the curve's score
     for none; a null doc_id is not held out; rows that repeat each get a row; other columns are not read; an empty table
     gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(shared.value)
-        for batch in batches:
-            scores = [score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(fold_of("doc_id") == 1, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return scored(rows, model, ["doc_id", "held_out"]).select(
+        "doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")
+    )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be toxic, with all columns; the model learns from ``labels`` of ``docs``."""
-    model = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(shared.value)
-        for batch in batches:
-            keep = pa.array([score(t) < threshold for t in batch.column("text").to_pylist()])
-            yield batch.filter(keep)
-
-    return docs.mapInArrow(run, docs.schema)
+    return scored(docs, fit(docs, labels), docs.columns).where(F.col("__score") < threshold).select(*docs.columns)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

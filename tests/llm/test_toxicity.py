@@ -86,3 +86,25 @@ def test_without_both_classes(spark):
     assert toxicity.fit(docs, none) == 0.0
     assert [r.score for r in toxicity.score_toxicity(docs, 0.0).collect()] == [0.0, 0.0]
     assert toxicity.fit(docs.limit(0), none) == 0.0 and toxicity.score_toxicity(docs.limit(0), 0.0).count() == 0
+
+
+def test_no_score_depends_on_what_tasks_hold(spark):
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    every, some, none = (toxicity.score_toxicity(docs, toxicity.fit(docs, known, max_grams=n)).orderBy("doc_id").collect() for n in (10**6, 300, 0))
+    for a, b, c in zip(every, some, none, strict=True):
+        assert a.doc_id == b.doc_id == c.doc_id and a.score == pytest.approx(b.score, rel=1e-9) and a.score == pytest.approx(c.score, rel=1e-9)
+
+
+def test_ratios_against_the_plain_form(spark):
+    rows, labels = corpus(200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = toxicity.count_grams(toxicity.labelled(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    counted = grams.collect()
+    got = {(r.model, r.gram): r.ratio for r in toxicity.ratios(grams).collect()}
+    for m, folds in ((toxicity.WHOLE, "02"), (2, "0"), (0, "2")):
+        counts = [{r.gram: n for r in counted if (n := sum(r[f"n{f}{y}"] for f in folds))} for y in (0, 1)]
+        want = toxicity.kneser_ney(*counts)
+        assert {g for k, g in got if k == m} == want.keys()
+        assert all(got[m, g] == pytest.approx(v, rel=1e-9, abs=1e-12) for g, v in want.items())
