@@ -157,6 +157,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     blank texts) link with nothing and are their own component; a null doc_id is never linked, keeps a null
     component and is kept; rows that repeat a doc_id each get a row; an empty table gives an empty table.
     """
+    return _verdicts(docs, shingle_words, percent).drop("print")
+
+
+def _verdicts(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``print``, the hash of their text."""
     rows = docs.select("doc_id", "text")
     sketched = materialise(sketch(rows, shingle_words), "minhash-sketch")
     linkable = sketched.where("doc_id IS NOT NULL AND class_key IS NOT NULL")
@@ -202,9 +207,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         "class_key", F.coalesce("smallest", "first.doc_id").alias("found")
     )
     return (
-        sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key"))
+        sketched.select("doc_id", "print", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key"))
         .join(named, "class_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+        .select("doc_id", "print", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -308,9 +313,13 @@ def _exact_pairs(members: DataFrame, texts: DataFrame, shingle_words: int, perce
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that no smaller doc_id is a near copy of; all columns as they were."""
-    verdict = near_duplicates(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(verdict.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that no smaller doc_id is a near copy of; all columns as they were.
+
+    Rows go by doc_id and text, so that one doc_id's other texts stay.
+    """
+    gone = _verdicts(docs, shingle_words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("print").alias("__print")).distinct()
+    same = (docs["doc_id"].cast("long") == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__print"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,9 @@ def test_alike_in_the_middle_of_crowded_buckets(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2).collect()}
     assert got == {i: min(i, 5000) for i, _ in rows}
+
+
+def test_stage_with_repeated_ids_of_different_texts(spark):
+    docs = spark.createDataFrame([(7, "a b"), (7, "c d"), (3, "c d"), (9, "a b"), (None, "a b"), (8, None), (8, "")], "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs, 2).collect())
+    assert kept == Counter([(7, "a b"), (3, "c d"), (None, "a b"), (8, None), (8, "")])
