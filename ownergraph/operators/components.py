@@ -1,43 +1,89 @@
-"""Connected components of an undirected edge list by minimum labels with pointer jumping."""
+"""Connected components of an undirected edge list by contraction."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ownergraph.session import materialise
-
+from ownergraph.session import discard, materialise
 
 #: Shuffle partitions to a file of the tables between rounds.
 SHRINK = 4
+#: Links that one task may finish by itself; beyond it, rounds contract the graph further.
+FEW_LINKS = 16_384
+
+
+def _contract(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One round: every node's parent, and the links between parents.
+
+    A node's parent is the one of itself and its neighbours that a hash puts first.  The hash changes every second
+    round: with one order a star is done in two, and with new ones a chain halves whatever its names are.
+    """
+    order = lambda name: F.struct(F.xxhash64(name, F.lit(turn // 2)).alias("h"), F.col(name).alias("x"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy("a").agg(F.min(order("b")).alias("m"))
+    parents = materialise(first.select(F.col("a").alias("node"), F.least("m", order("a"))["x"].alias("parent")), "cc-parents", SHRINK)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(parents.select(F.col("node").alias(end), F.col("parent").alias(f"p{end}")), end)
+    kept = ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+    return parents, materialise(kept, "cc-links", SHRINK)
+
+
+def _finish(links: DataFrame) -> DataFrame:
+    """``node, component`` of at most FEW_LINKS links, by union and find in one task."""
+    kind = links.schema["a"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        types = None
+        for batch in batches:
+            types = batch.schema.field("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        if root:
+            yield pa.RecordBatch.from_arrays([pa.array(list(root), types), pa.array([find(x) for x in list(root)], types)], names=["node", "component"])
+
+    return links.coalesce(1).mapInArrow(run, f"node {kind.simpleString()}, component {kind.simpleString()}")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node of an edge; the component is its smallest node.
 
-    Every round takes the smallest label among a node and its neighbours and then the label of that
-    label, so a chain of n nodes needs about log(n) rounds and a star two.  Each round ends in a written
-    table: no lineage grows and a lost executor costs one round.  Null ends and loops link nothing.
+    Rounds contract every node into a parent, so that links and nodes shrink geometrically and settled parts are not
+    walked again; once few links are left, one task finishes them.  Labels then go back through the rounds, the last
+    first.  Each round ends in written tables: no lineage grows and a lost executor costs one round.  Null ends and
+    loops link nothing.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges", SHRINK)
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
-    while True:
-        near = (
-            both.join(labels, both.a == labels.node)
-            .groupBy("b")
-            .agg(F.min("component").alias("near"))
-        )
-        lower = labels.join(near, labels.node == near.b, "left").select(
-            "node", F.col("component").alias("was"), F.least("component", "near").alias("c")
-        )
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("next"))
-        stepped = materialise(
-            lower.join(jump, "c", "left").select("node", "was", F.least("c", "next").alias("component")), "cc-labels", SHRINK
-        )
-        labels = stepped.select("node", "component")
-        if stepped.where("was <> component").isEmpty():
-            return labels
+    links = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links", SHRINK)
+    rounds: list[DataFrame] = []
+    while links.count() > FEW_LINKS:
+        parents, fewer = _contract(links, len(rounds))
+        discard(links)
+        rounds.append(parents)
+        links = fewer
+    labels = _finish(links)
+    for parents in reversed(rounds):
+        known = labels.select(F.col("node").alias("parent"), F.col("component").alias("found"))
+        labels = parents.join(known, "parent", "left").select("node", F.coalesce("found", "parent").alias("component"))
+    if rounds:  # the component is named by a parent; its smallest node is looked up
+        labels = materialise(labels, "cc-labels", SHRINK)
+        names = labels.groupBy("component").agg(F.min("node").alias("least"))
+        labels = labels.join(names, "component").select("node", F.col("least").alias("component"))
+    found = materialise(labels, "cc-components", SHRINK)
+    discard(links, *rounds)
+    return found
 
 
 def canonical_components(nodes: DataFrame, edges: DataFrame, node: str = "idx", src: str = "src", dst: str = "dst") -> DataFrame:
