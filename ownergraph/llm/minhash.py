@@ -3,9 +3,9 @@
 Documents with equal shingle sets are one class first, so copies cost one row each and no pair.  Classes
 meet in band buckets; every member of a bucket is compared with the bucket's centre only, so a bucket of n
 gives n - 1 pairs.  Every candidate is confirmed on the full sets.  A star can miss two members that are
-alike while neither is like the centre: further turns compare the components that still share a bucket, by
-other members each time, until a turn finds no new link.  What then still shares a bucket across components is
-joined exactly, by the rarest shingles of the full sets, so that no alike pair of a bucket is left untried.
+alike while neither is like the centre: two more turns of stars join the components that share a bucket by
+other members.  Whatever then still shares a bucket across components is joined exactly, by the rarest
+shingles of the full sets, so that every alike pair of a bucket is linked and every other one refuted.
 """
 
 from __future__ import annotations
@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 
 from ownergraph.llm.common import bounded_batches
 from ownergraph.operators.components import connected_components
-from ownergraph.session import materialise, table
+from ownergraph.session import discard, materialise, table
 
 BINS, ROWS = 128, 4
-#: Shuffle partitions to a file of the components between turns.
+#: Shuffle partitions to a file of the tables between steps.
 SHRINK = 4
+#: Turns of stars between components before the exact join; they only make that join smaller.
+TURNS = 2
+#: Pairs of one document that meet in a task.
+FAN = 256
 BANDS = BINS // ROWS
 _SHIFT = np.uint64(64 - 7)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
@@ -123,7 +127,10 @@ def sketch(docs: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the similarity; sorted by a, so that a's set is made once."""
+    """Those of the written ``pairs`` (a, b) whose full sets reach the similarity, as ``src, dst``.
+
+    Sorted by a, so that a's set is made once.  The text of an a with many pairs is dealt to several tasks.
+    """
     bounded_batches(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +149,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent:
                 [pa.array([x for x, k in zip(v, keep, strict=True) if k], pa.binary()) for v in (a, b)], names=["src", "dst"]
             )
 
+    crowds = materialise(
+        pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > FAN).select("a", F.ceil(F.col("n") / FAN).cast("int").alias("deals")),
+        "minhash-crowds", SHRINK,
+    )
+    dealt = pairs.join(crowds, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "deals"), F.lit(0)).cast("int").alias("deal"))
+    lefts = (
+        texts.select(F.col("class_key").alias("a"), F.col("text").alias("text_a")).join(crowds, "a", "left")
+        .select("a", "text_a", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)).alias("deal"))
+    )
     joined = (
-        pairs.join(texts.select(F.col("class_key").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("class_key").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+        dealt.join(texts.select(F.col("class_key").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(lefts.hint("merge"), ["a", "deal"])
         .select("a", "b", "text_a", "text_b")
     )
-    return joined.mapInArrow(run, "src binary, dst binary")
+    found = materialise(joined.mapInArrow(run, "src binary, dst binary"), "minhash-links", SHRINK)
+    discard(crowds)
+    return found
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -183,22 +201,29 @@ def _verdicts(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
         .groupBy("class_key").agg(F.min("text").alias("text")),
         "minhash-texts",
     )
-    pairs = buckets.where("class_key <> centre").select(F.col("centre").alias("a"), F.col("class_key").alias("b")).distinct()
-    tried = materialise(pairs, "minhash-tried", SHRINK)
-    parts = connected_components(materialise(_confirmed(tried, texts, shingle_words, percent), "minhash-links"))
-    turn = 0
-    while True:
-        turn += 1
-        pairs = materialise(_next_stars(buckets, parts, turn).join(tried, ["a", "b"], "left_anti"), "minhash-tried", SHRINK)
-        tried = tried.unionByName(pairs)
-        found = materialise(_confirmed(pairs, texts, shingle_words, percent), "minhash-links")
-        if found.isEmpty():
+    pairs = materialise(buckets.where("class_key <> centre").select(F.col("centre").alias("a"), F.col("class_key").alias("b")).distinct(), "minhash-pairs", SHRINK)
+    links = [_confirmed(pairs, texts, shingle_words, percent)]
+    discard(pairs)
+    parts = connected_components(links[0])
+    for turn in range(TURNS):
+        crowds = materialise(_still_open(buckets, parts), "minhash-buckets", SHRINK)
+        discard(buckets)
+        buckets = crowds
+        if buckets.isEmpty():
             break
-        parts = _merged(parts, found)
-    pairs = _exact_pairs(_still_open(buckets, parts), texts, shingle_words, percent).join(tried, ["a", "b"], "left_anti")
-    found = materialise(_confirmed(materialise(pairs, "minhash-tried", SHRINK), texts, shingle_words, percent), "minhash-links")
-    if not found.isEmpty():
-        parts = _merged(parts, found)
+        pairs = materialise(_next_stars(buckets, turn), "minhash-pairs", SHRINK)
+        links.append(_confirmed(pairs, texts, shingle_words, percent))
+        after = _merged(parts, links[-1])
+        discard(pairs, parts)
+        parts = after
+    members = materialise(_still_open(buckets, parts).select("class_key", "part").distinct(), "minhash-open", SHRINK)
+    if not members.isEmpty():
+        pairs = materialise(_exact_pairs(members, texts, shingle_words, percent), "minhash-pairs", SHRINK)
+        links.append(_confirmed(pairs, texts, shingle_words, percent))
+        after = _merged(parts, links[-1])
+        discard(pairs, parts)
+        parts = after
+    discard(buckets, members, texts, *links)
     smallest = (
         parts.join(classes, F.col("node") == F.col("class_key"))
         .groupBy("component").agg(F.min("first.doc_id").alias("smallest"))
@@ -216,6 +241,8 @@ def _verdicts(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
 
 def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
     """``parts`` (node, component) after further links; only the components that these touch are walked through."""
+    if found.isEmpty():
+        return materialise(parts, "minhash-parts", SHRINK)
     part = parts.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
     ends = found
     for end in ("src", "dst"):
@@ -224,51 +251,46 @@ def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
     moved = parts.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
         "node", F.coalesce("to", "component").alias("component")
     )
-    return materialise(moved.unionByName(step.join(parts, "node", "left_anti")), "minhash-parts", SHRINK)
-
+    after = materialise(moved.unionByName(step.join(parts, "node", "left_anti")), "minhash-parts", SHRINK)
+    discard(step)
+    return after
 
-def _next_stars(buckets: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs across the components that still share a bucket.
 
-    Each component in a bucket is stood for by one member, another one in each bucket and turn; the members that stand
-    for the smallest and for the largest component are centres of two stars.  So a bucket gives two pairs a component.
-    """
-    standing = (
-        buckets.join(parts, F.col("class_key") == F.col("node"), "left")
-        .groupBy("band", F.coalesce("component", "class_key").alias("part"))
-        .agg(F.min_by("class_key", F.xxhash64("class_key", "band", F.lit(turn))).alias("class_key"))
+def _still_open(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``band, class_key, part`` of the buckets that hold several components and more than the two members of one pair."""
+    labelled = buckets.select("band", "class_key").join(parts, F.col("class_key") == F.col("node"), "left").select(
+        "band", "class_key", F.coalesce("component", "class_key").alias("part")
     )
-    edges = standing.groupBy("band").agg(
-        F.min(F.struct("part", "class_key")).alias("low"), F.max(F.struct("part", "class_key")).alias("high")
-    ).where("low.part <> high.part")
-    met = standing.join(edges, "band")
-    to_low = met.where("part <> low.part").select(F.col("low.class_key").alias("a"), F.col("class_key").alias("b"))
-    to_high = met.where("part <> high.part AND part <> low.part").select(F.col("high.class_key").alias("a"), F.col("class_key").alias("b"))
-    return to_low.unionByName(to_high).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bands = (
+        labelled.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+        .where("low <> high AND n > 2").select("band")
+    )
+    return labelled.join(bands, "band")
 
 
-def _still_open(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """``class_key, part`` of the members of buckets that may hold untried pairs across components after the stars.
+def _next_stars(buckets: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs across the components of a bucket: one member of the largest with one of each other component.
 
-    Up to three components of one member each were compared in full.
+    Which members these are differs from bucket to bucket and turn to turn, so that a large component's members take turns.
     """
-    labelled = buckets.join(parts, F.col("class_key") == F.col("node"), "left").select(
-        "band", "class_key", F.coalesce("component", "class_key").alias("part")
+    standing = buckets.groupBy("band", "part").agg(
+        F.min_by("class_key", F.xxhash64("class_key", "band", F.lit(turn))).alias("class_key"), F.count("*").alias("n")
     )
-    bands = (
-        labelled.groupBy("band", "part").agg(F.count("*").alias("n"))
-        .groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("members"))
-        .where("parts > 1 AND (parts > 3 OR members > parts)")
+    centres = standing.groupBy("band").agg(F.max(F.struct("n", F.xxhash64("part", F.lit(turn)).alias("order"), "part", "class_key")).alias("centre"))
+    return (
+        standing.join(centres, "band").where("part <> centre.part")
+        .select(F.least("class_key", "centre.class_key").alias("a"), F.greatest("class_key", "centre.class_key").alias("b")).distinct()
     )
-    return labelled.join(bands, "band").select("class_key", "part").distinct()
 
 
 def _exact_pairs(members: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different parts, among them all that reach the similarity: a prefix-filter join on the full sets.
 
-    Shingles that one part alone has come first in the common order, then rare before frequent ones.  Two alike sets of
-    n and m shingles share one of their first n - ceil(n * percent / 100) + 1, and from the first that they share on,
-    enough are left for the overlap; a passage that thousands hold stands at the end of that order.
+    Shingles that one part alone has are left out; rare ones come before frequent ones.  Two alike sets of n and m
+    shingles share ceil((n + m) * percent / (100 + percent)) of them, so the first that they share has at least as
+    many left in either order: an item with fewer left cannot be the first that a pair of these sizes shares.  A core
+    that thousands hold stands at the end of that order and is reached only by sets that hardly differ from it.  An
+    item's largest part is met by the others alone, so that what belongs together already is not compared again.
     """
     bounded_batches(members.sparkSession)
 
@@ -295,21 +317,27 @@ def _exact_pairs(members: DataFrame, texts: DataFrame, shingle_words: int, perce
         .groupBy("class_key", "part", "n").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("ordered"))
         .withColumn("m", F.size("ordered")).where(F.col("m") >= need)
         .select("class_key", "part", "n", "m", F.posexplode(F.slice("ordered", F.lit(1), (F.col("m") - need + 1).cast("int"))).alias("at", "item"))
-        .select("item.x", "part", F.struct("class_key", "n", (F.col("m") - F.col("at")).alias("rest")).alias("member"))
+        .select("item.x", "class_key", "part", "n", (F.col("m") - F.col("at")).alias("rest"))
+    )
+    prefixes = materialise(prefixes, "minhash-prefixes", SHRINK)
+    discard(sets)
+    largest = (
+        prefixes.groupBy("x", "part").agg(F.count("*").alias("held"))
+        .groupBy("x").agg(F.max(F.struct("held", "part"))["part"].alias("main"), F.count("*").alias("parts"))
+        .where("parts > 1").select("x", "main")
     )
-    held = materialise(prefixes.groupBy("x", "part").agg(F.collect_list("member").alias("members")), "minhash-prefixes", SHRINK)
-    several = held.groupBy("x").agg(F.count("*").alias("parts")).where("parts > 1").select("x")
-    held = held.join(several, "x")
-    met = held.select("x", F.col("part").alias("part_a"), F.col("members").alias("as")).join(
-        held.select("x", F.col("part").alias("part_b"), F.col("members").alias("bs")), "x"
-    ).where("part_a < part_b")
-    pairs = met.select(F.explode("as").alias("l"), "bs").select("l", F.explode("bs").alias("r"))
+    held = materialise(prefixes.join(largest, "x"), "minhash-postings", SHRINK)
+    discard(prefixes)
+    left, right = (held.select("x", *(F.col(c).alias(f"{c}_{side}") for c in ("class_key", "part", "main", "n", "rest"))) for side in "lr")
     fits = (
-        F.least("l.rest", "r.rest") * (100 + percent) >= (F.col("l.n") + F.col("r.n")) * percent
-    ) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent)
-    return pairs.where(fits).select(
-        F.least("l.class_key", "r.class_key").alias("a"), F.greatest("l.class_key", "r.class_key").alias("b")
-    ).distinct()
+        (F.col("part_l") != F.col("part_r")) & ((F.col("part_r") == F.col("main_r")) | (F.col("part_l") < F.col("part_r")))
+        & (F.least("rest_l", "rest_r") * (100 + percent) >= (F.col("n_l") + F.col("n_r")) * percent)
+        & (F.least("n_l", "n_r") * 100 >= F.greatest("n_l", "n_r") * percent)
+    )
+    return (
+        left.where("part_l <> main_l").join(right, (left.x == right.x) & fits)
+        .select(F.least("class_key_l", "class_key_r").alias("a"), F.greatest("class_key_l", "class_key_r").alias("b")).distinct()
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

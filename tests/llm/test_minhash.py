@@ -116,6 +116,46 @@ def test_alike_in_the_middle_of_crowded_buckets(spark):
     assert got == {i: min(i, 5000) for i, _ in rows}
 
 
+def halves(rnd, family, each, n_words, exchanged):
+    """A family of two halves whose texts differ in some words; one pair across them reaches the similarity."""
+    base = [f"f{family}w{i}" for i in range(n_words)]
+    places = sorted(rnd.sample(range(0, n_words - 2, 3), exchanged + 1))
+    out = []
+    for half in range(2):
+        for i in range(each):
+            words = list(base)
+            if half:
+                for p in places[:exchanged]:
+                    words[p] = f"f{family}h{p}"
+            words[places[-1]] = f"f{family}o{half}x{i}"
+            if i == 0:  # nearer to the other half by one exchanged word, and without a word of its own
+                words[places[0]] = f"f{family}h{places[0]}" if not half else base[places[0]]
+                words[places[-1]] = base[places[-1]]
+            out.append(" ".join(words))
+    return out
+
+
+def test_halves_that_one_pair_joins(spark):
+    """Stars between random members miss the one alike pair across two halves of a family; the exact join must not."""
+    rnd = random.Random(9)
+    texts = dict(enumerate(t for f in range(6) for t in halves(rnd, f, 60, 300, 18)))
+    want, got = check(spark, texts, 2)
+    assert got == want
+
+
+def test_a_large_family_near_the_threshold(spark):
+    rnd = random.Random(10)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for n in range(500):
+        words = list(base)
+        for _ in range(rnd.randrange(0, 13)):
+            words[rnd.randrange(len(words))] = f"e{rnd.randrange(800)}"
+        texts[n] = " ".join(words)
+    want, got = check(spark, texts, 2)
+    assert got == want
+
+
 def test_stage_with_repeated_ids_of_different_texts(spark):
     docs = spark.createDataFrame([(7, "a b"), (7, "c d"), (3, "c d"), (9, "a b"), (None, "a b"), (8, None), (8, "")], "doc_id long, text string")
     kept = Counter((r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs, 2).collect())
