@@ -210,24 +210,23 @@ def main_text(source: str | None) -> str:
     densities = [density(chars[i], tag_count[i], links[i], link_count[i], ratio) for i in range(n)]
     sums = [0.0] * n
     for i in range(n - 1, 0, -1):
-        if not gone[i]:
+        if not gone[i] and tags[i] not in INLINE:  # what is inline is text of its block, no block beside others
             sums[parents[i]] += densities[i]
     within = [i == body for i in range(n)]
     for i in range(body + 1, n):
         within[i] = within[parents[i]]
     best = max((i for i in range(n) if within[i] and not gone[i] and (i == body or tags[i] not in INLINE)), key=lambda i: (sums[i], -i), default=body)
 
-    # the way up to the body has the threshold; an article around the best node is the whole of it
+    # the way up to the body has the threshold
     path, at = [], best
     while at > 0 and at != body:
         path.append(at)
         at = parents[at]
     path.append(body)
     threshold = min(densities[i] for i in path)
-    root = next((i for i in path if tags[i] in ("article", "main")), None)
     chosen = [False] * n
-    if root is not None or best == body:
-        chosen[root if root is not None else body] = True
+    if best == body:
+        chosen[body] = True
     else:
         chosen[best] = True
         on_path = set(path)

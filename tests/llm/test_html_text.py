@@ -1,19 +1,39 @@
 import html
+import random
 import re
 
 import pyarrow.parquet as pq
 
+from ownergraph.llm import html_text
 from ownergraph.llm.html_text import density, extract_pages, main_text
 
 
 def test_every_given_page():
-    """Against the pages' own structure: what stands in the article, block by block."""
+    """Against the pages' own structure: what stands in the article, block by block.  The article's tag tells nothing."""
     rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
     for r in rows:
         inner = re.search(r"<article>(.*?)(?:</article>|<footer>)", r["html"], re.S)[1]
         blocks = re.split(r"</?(?:p|h1|div|ul|li)[^>]*>", inner)
         want = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br" in b else "", b)).split()) for b in blocks]
-        assert main_text(r["html"]) == "\n".join(b for b in want if b), r["page_id"]
+        want = "\n".join(b for b in want if b)
+        assert main_text(r["html"]) == want, r["page_id"]
+        assert main_text(re.sub(r"(</?)article\b", r"\1div", r["html"])) == want, r["page_id"]
+
+
+def test_densities_decide(monkeypatch):
+    """With lengths, a constant or random numbers for densities the results are no longer the articles."""
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    right = [main_text(r["html"]) for r in rows]
+    rnd = random.Random(1)
+    for other in (lambda *a: 1.0, lambda *a: rnd.random()):
+        monkeypatch.setattr(html_text, "density", other)
+        assert sum(main_text(r["html"]) != t for r, t in zip(rows, right, strict=True)) > len(rows) / 5
+
+
+def test_unnamed_link_lists_lose_to_text():
+    links = "<div>" + "".join(f"<div><a href=/{i}>Some long headline of another story number {i}</a></div>" for i in range(30)) + "</div>"
+    body = f"<div><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div>"
+    assert main_text(page(body, links, links)) == "\n".join(["Head", *[LONG.strip()] * 3])
 
 
 LONG = "A sentence with quite a few words that says something of weight. " * 4
