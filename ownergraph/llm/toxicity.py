@@ -1,10 +1,11 @@
-"""Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood.
+"""Toxicity: class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
 
 Each class has counts of letter n-grams within words; the highest order is its own, all lower orders are
 continuation counts that both classes share.  An n-gram that one class has not seen falls back to the same
 shared probability as in the other, so rare words of ordinary text tell nothing, while a rare form of a toxic
-word still carries its stem.  The log-likelihood ratio of a document by its number of words, and that of its
-most telling word, go through a logistic curve, fitted on documents that the models have not seen.
+word still carries its stem.  The log-likelihoods of an expression, a word, under both models are normalised
+by its length and compared; a document is as toxic as its most toxic expression, however long the rest is.
+The score is a logistic curve of that ratio alone, fitted on documents that the models have not seen.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ ORDER, DISCOUNT = 5, 0.75
 MAX_GRAMS = 1_000_000
 #: Labelled documents that the logistic curve is fitted on: those whose hash is smallest.
 CALIBRATION_DOCS = 20_000
+#: Expressions of fewer n-grams than these are normalised as if they had as many: a short word proves less.
+SPAN = 16
 #: A share of the characters in all, for the order below single letters.
 UNIFORM = 1 / 200
 #: Score from which a document is predicted to be toxic.
@@ -185,7 +188,7 @@ def ratios(grams: DataFrame) -> DataFrame:
 
 
 class Evidence(dict):
-    """Log-likelihood ratios of words under one model, remembered up to a bound.
+    """Length-normalised log-likelihood ratios of words under one model, remembered up to a bound.
 
     Where ``ratio`` is not complete, a word with an n-gram that is not there has None.
     """
@@ -202,21 +205,19 @@ class Evidence(dict):
                 value = None
                 break
             value += get(g[:-1], 0.0) if r is None else r
+        if value is not None:
+            value /= max(SPAN, len(word) + 1)
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = value
         return value
 
-    def of(self, text: str | None) -> tuple[float, int, float, list[dict]]:
-        """Sum over the words, their number, the most telling word's value, and the words without a value here."""
-        words = words_of(text)
-        values = list(map(self.__getitem__, words))
-        late = []
-        if not self.complete:
-            late = [{"word": w, "n": n} for w, n in Counter(w for w, v in zip(words, values, strict=True) if v is None).items()]
-            values = [v for v in values if v is not None]
-        return sum(values), len(words), max(0.0, *values) if values else 0.0, late
+    def of(self, text: str | None) -> tuple[float, list[str]]:
+        """The ratio of the most toxic word, none below 0, and the words without a value here."""
+        words = set(words_of(text))
+        values = [(w, self[w]) for w in words]
+        return max([0.0, *(v for _, v in values if v is not None)]), sorted(w for w, v in values if v is None)
 
 
 class Model(NamedTuple):
@@ -235,41 +236,39 @@ def word_values(words: DataFrame, table: DataFrame) -> DataFrame:
     grams = words.select("model", "word", F.explode(F.transform(at, lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"))
     of = lambda key, name: table.select("model", F.col("gram").alias(key), F.col("ratio").alias(name))
     known = grams.withColumn("h", F.substring("gram", 1, ORDER - 1)).join(of("gram", "own"), ["model", "gram"], "left").join(of("h", "context"), ["model", "h"], "left")
-    return known.groupBy("model", "word").agg(F.sum(F.coalesce("own", "context", F.lit(0.0))).alias("value"))
+    total = F.sum(F.coalesce("own", "context", F.lit(0.0)))
+    return known.groupBy("model", "word").agg(total.alias("total")).select(
+        "model", "word", (F.col("total") / F.greatest(F.lit(SPAN), F.char_length("word") + 1)).alias("value")
+    )
 
 
 def evidence(rows: DataFrame, model: Model, carried: list[str]) -> DataFrame:
-    """The ``carried`` columns of ``rows``, and ``__mean``, ``__top``: the ratio by the number of words, and that of the
-    most telling word, of ``text`` under the model in ``__model``."""
+    """The ``carried`` columns of ``rows``, and ``__ratio``: the length-normalised ratio of the most toxic word of
+    ``text`` under the model in ``__model``."""
     bounded_batches(rows.sparkSession)
     held, complete = model.held, model.complete
-    own = "__total double, __words long, __top double, __late array<struct<word: string, n: long>>"
+    own = "__top double, __late array<string>"
     names = [f.name for f in StructType.fromDDL(own)]
-    late_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = {m: Evidence(ratio, complete) for m, ratio in held.value.items()}
         for batch in batches:
             pairs = zip(batch.column("__model").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            found = [by[m].of(t) for m, t in pairs]
-            total, words, top, late = zip(*found, strict=True) if found else ((), (), (), ())
+            top, late = zip(*(by[m].of(t) for m, t in pairs), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in (*carried, "__model")), pa.array(total, pa.float64()), pa.array(words, pa.int64()), pa.array(top, pa.float64()), pa.array(late, late_type)],
+                [*(batch.column(c) for c in (*carried, "__model")), pa.array(top, pa.float64()), pa.array(late, pa.list_(pa.string()))],
                 names=[*carried, "__model", *names],
             )
 
     schema = StructType([*rows.select(*carried, "__model").schema.fields, *StructType.fromDDL(own).fields])
     measured = rows.mapInArrow(run, schema)
-    total, top = F.col("__total"), F.col("__top")
-    if not complete:
-        measured = materialise(measured.withColumn("__row", F.monotonically_increasing_id()), "toxicity-measured")
-        late = measured.select("__row", F.col("__model").alias("model"), F.explode("__late").alias("l")).select("__row", "model", "l.word", "l.n")
-        values = word_values(late.select("model", "word").distinct(), model.table)
-        added = late.join(values, ["model", "word"]).groupBy("__row").agg(F.sum(F.col("n") * F.col("value")).alias("__more"), F.max("value").alias("__high"))
-        measured = measured.join(added, "__row", "left")
-        total, top = total + F.coalesce("__more", F.lit(0.0)), F.greatest("__top", "__high")
-    mean = F.when(F.col("__words") > 0, total / F.col("__words")).otherwise(0.0)
-    return measured.select(*carried, mean.alias("__mean"), top.alias("__top"))
+    if complete:
+        return measured.select(*carried, F.col("__top").alias("__ratio"))
+    measured = materialise(measured.withColumn("__row", F.monotonically_increasing_id()), "toxicity-measured")
+    late = measured.select("__row", F.col("__model").alias("model"), F.explode("__late").alias("word"))
+    values = word_values(late.select("model", "word").distinct(), model.table)
+    added = late.join(values, ["model", "word"]).groupBy("__row").agg(F.max("value").alias("__high"))
+    return measured.join(added, "__row", "left").select(*carried, F.greatest("__top", "__high").alias("__ratio"))
 
 
 def logistic(features: np.ndarray, classes: np.ndarray, ridge: float = 1e-2) -> tuple:
@@ -286,7 +285,7 @@ def logistic(features: np.ndarray, classes: np.ndarray, ridge: float = 1e-2) ->
     return mean, spread, w
 
 
-def curve(fitted: tuple, features: tuple[float, float]) -> float:
+def curve(fitted: tuple, features: tuple[float, ...]) -> float:
     mean, spread, w = fitted
     x = w[0] + sum(w[i + 1] * (f - mean[i]) / spread[i] for i, f in enumerate(features))
     return float(1 / (1 + math.exp(-min(30.0, max(-30.0, x)))))
@@ -328,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_grams: int = MAX_GRAMS, calibrat
     classes = np.array(sample["toxic"], float)
     if len(set(classes)) < 2:
         return float(min(present))
-    return model._replace(fitted=logistic(np.c_[sample["__mean"], sample["__top"]], classes))
+    return model._replace(fitted=logistic(np.array(sample["__ratio"], float)[:, None], classes))
 
 
 def scored(docs: DataFrame, model: Model | float, carried: list[str]) -> DataFrame:
@@ -336,9 +335,7 @@ def scored(docs: DataFrame, model: Model | float, carried: list[str]) -> DataFra
     if isinstance(model, float):
         return docs.select(*carried, F.lit(model).alias("__score"))
     mean, spread, w = model.fitted
-    x = F.lit(float(w[0]))
-    for i, name in enumerate(("__mean", "__top")):
-        x = x + float(w[i + 1]) * (F.col(name) - float(mean[i])) / float(spread[i])
+    x = float(w[0]) + float(w[1]) * (F.col("__ratio") - float(mean[0])) / float(spread[0])
     score = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), x))))
     return evidence(docs.withColumn("__model", F.lit(WHOLE)), model, carried).select(*carried, score.alias("__score"))
 

@@ -13,8 +13,8 @@ def test_shared_orders_and_own_top():
     toxic = {g: 2 for g in toxicity.grams_of("idiot")}
     ratio = toxicity.kneser_ney(ordinary, toxic)
     word = toxicity.Evidence(ratio)
-    assert word["idiot"] > 3 and word["house"] < -3 and word["idiots"] > 0
-    assert word["zzz"] == pytest.approx(ratio["\x02" * 4])  # nothing but the start is known, and it is shared
+    assert word["idiot"] > 3 / toxicity.SPAN and word["house"] < -3 / toxicity.SPAN and word["idiots"] > 0
+    assert word["zzz"] == pytest.approx(ratio["\x02" * 4] / toxicity.SPAN)  # nothing but the start is known, and it is shared
 
 
 def test_equal_classes_tell_nothing():
@@ -80,6 +80,28 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert all(math.isclose(a.score, b.score, rel_tol=1e-9) for a, b in zip(one, two, strict=True))
 
 
+def test_the_score_is_monotone_in_the_length_normalised_ratio(spark):
+    """And the ratio is that of the plain form, word by word."""
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known)
+    counted = toxicity.count_grams(toxicity.labelled(docs, known)).collect()
+    ratio = toxicity.kneser_ney(*({r.gram: n for r in counted if (n := sum(r[f"n{f}{y}"] for f in "02"))} for y in (0, 1)))
+
+    def plain(text):
+        best = 0.0
+        for word in toxicity.words_of(text):
+            grams = list(toxicity.grams_of(word))
+            best = max(best, sum(ratio[g] if g in ratio else ratio.get(g[:-1], 0.0) for g in grams) / max(toxicity.SPAN, len(grams)))
+        return best
+
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    pairs = sorted((plain(t), scores[i]) for i, t in rows)
+    assert all(a[1] <= b[1] + 1e-12 for a, b in zip(pairs, pairs[1:], strict=False)) and pairs[0][1] < 0.1 < 0.9 < pairs[-1][1]
+    assert all(s == pytest.approx(toxicity.curve(model.fitted, (x,)), rel=1e-9) for x, s in pairs)
+
+
 def test_without_both_classes(spark):
     docs = spark.createDataFrame([(0, "a b"), (2, "c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
