@@ -56,9 +56,11 @@ def oracle_sql() -> dict[str, str]:
 
 _DENSE = """SELECT CAST(s_nationkey AS BIGINT) AS no_empresa, CAST(c_nationkey AS BIGINT) AS no_socio, left(o_orderpriority, 1) AS qualificacao_socio
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"""
-_SPARSE = """SELECT 2 * l_partkey AS no_empresa, 2 * o_custkey + 1 AS no_socio, left(o_orderpriority, 1) AS qualificacao_socio
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE """
-_B, _C = _SPARSE + "l_quantity = 50 AND l_discount >= 0.05", _SPARSE + X.GIANT
+_GIANT = "l_partkey * 51 + CAST(l_quantity AS BIGINT)"
+_B, _C = (
+    f"SELECT 2 * l_orderkey AS no_empresa, 2 * ({x}) + 1 AS no_socio, left(o_orderpriority, 1) AS qualificacao_socio FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    for x in (f"({_GIANT}) * 11 + CAST(round(l_discount * 100) AS BIGINT)", _GIANT)
+)
 _PAIRS = """SELECT least(no_empresa, no_socio) AS a, greatest(no_empresa, no_socio) AS b, min(CAST(qualificacao_socio AS SMALLINT)) AS role,
   count(DISTINCT qualificacao_socio) AS roles FROM links WHERE no_empresa <> no_socio GROUP BY 1, 2"""
 _ADJ = "SELECT a AS src, b AS dst, role FROM pairs UNION ALL SELECT b, a, role FROM pairs"
@@ -68,19 +70,20 @@ def _graph(links: str) -> str:
     return f"links AS ({links}), pairs AS ({_PAIRS}), adj AS ({_ADJ}), nodes AS (SELECT no_empresa AS idx FROM links UNION SELECT no_socio FROM links)"
 
 
-_LABELS = """reach(a, b) AS (SELECT idx, idx FROM nodes UNION SELECT r.a, e.dst FROM reach r JOIN adj e ON e.src = r.b),
-  least_of AS (SELECT a AS idx, min(b) AS m FROM reach GROUP BY a), sized AS (SELECT m, count(*) AS n FROM least_of GROUP BY m),
+_LABELS = """least_of(idx, m) USING KEY (idx) AS (SELECT idx, idx FROM nodes UNION
+    SELECT e.src, min(c.m) FROM least_of c JOIN adj e ON e.dst = c.idx JOIN recurring.least_of o ON o.idx = e.src WHERE c.m < o.m GROUP BY e.src),
+  sized AS (SELECT m, count(*) AS n FROM least_of GROUP BY m),
   numbered AS (SELECT m, n, row_number() OVER (ORDER BY n DESC, m) - 1 AS component FROM sized)"""
 
 
-def _graph_of(t: X.Tables, condition: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _graph_of(t: X.Tables, giant: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links, adjacency and nodes of a sparse graph, the first as a table of its own."""
-    links = materialise(X.sparse_links(t, condition) if condition else X.sparse_links(t), "links")
+    links = materialise(X.sparse_links(t, giant), "links")
     return links, G.adjacency(links), X.linked_nodes(links)
 
 
-def _components(t: X.Tables, condition: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    links, adj, nodes = _graph_of(t, condition)
+def _components(t: X.Tables, giant: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    links, adj, nodes = _graph_of(t, giant)
     return links, adj, nodes, materialise(C.canonical_components(nodes, adj), "components")
 
 
@@ -278,9 +281,9 @@ def _normal(x: str) -> str:
   '[ \\t\\n\\x0B\\f\\r\\x1C-\\x1F]+'), lambda w: w <> '' AND w NOT IN ({particles})), ' '), '')"""
 
 
-@query(f"SELECT doc_id, {_normal('left(text, 80)')} AS nome FROM documents")
+@query(f"SELECT doc_id, {_normal('text')} AS nome FROM documents")
 def normalize_name(t):
-    return t.documents.select("doc_id", I.normalise_name(F.substring("text", 1, 80)).alias("nome"))
+    return t.documents.select("doc_id", I.normalise_name(F.col("text")).alias("nome"))
 
 
 @query("SELECT c_custkey, substr(sha256('pessoa_juridica|' || lpad(CAST(c_custkey AS VARCHAR), 8, '0')), 1, 16) AS identificador FROM customer")
@@ -418,14 +421,15 @@ def _flawed(t) -> Q.Tables:
         F.when(k % 300 == 0, name).otherwise("JOAO DA SILVA").alias("nome_socio_ou_razao_social"), mask.alias("cnpj_cpf_socio"),
         F.lit("49").alias("qualificacao_socio"), F.lit(None).cast("string").alias("pais"), F.when(k % 350 == 0, F.lit("1899-12-31").cast("date")).alias("data_entrada_sociedade"),
     )
-    identities = t.customer.where("c_custkey <= 900").select(
-        F.substring(F.md5(base), 1, 16).alias("identificador"), F.lit("pessoa_fisica").alias("tipo"), F.lit("estimada").alias("confianca"),
+    identities = t.customer.where("c_custkey % 7 <> 0").select(
+        I.node_id(F.lit("pessoa_fisica"), F.when(k % 300 == 0, "FULANO 11144477735").otherwise("JOAO SILVA"), mask).alias("identificador"), F.lit("pessoa_fisica").alias("tipo"), F.lit("estimada").alias("confianca"),
         F.when(k % 150 == 0, 0).otherwise(1).cast("long").alias("vinculos_no_recorte"), F.lit(0.5).alias("taxa_de_colisao"),
     )
     return {"recorte": the_slice, "empresas": companies, "socios": socios, "identidades": identities.unionByName(identities.where("vinculos_no_recorte = 0"))}
 
 
-@query("""WITH k AS (SELECT c_custkey AS k, c_acctbal FROM customer), i AS (SELECT k FROM k WHERE k <= 900 UNION ALL SELECT k FROM k WHERE k <= 900 AND k % 150 = 0),
+@query("""WITH k AS (SELECT c_custkey AS k, c_acctbal FROM customer), i AS (SELECT k FROM k WHERE k % 7 <> 0 UNION ALL SELECT k FROM k WHERE k % 7 <> 0 AND k % 150 = 0),
+p AS (SELECT k, CASE WHEN k % 300 = 0 THEN 'F' ELSE 'J' END || CASE WHEN k % 250 = 0 THEN 'x' ELSE CAST(k % 1000000 AS VARCHAR) END AS quem FROM k),
 f AS (
  SELECT 'sem_nulo_no_obrigatorio' AS regra, 'recorte.situacao_cadastral' AS detalhe, count(*) AS n FROM k WHERE k % 400 = 0
  UNION ALL SELECT 'documento_foi_suprimido', 'socios.nome_socio_ou_razao_social', count(*) FROM k WHERE k % 300 = 0
@@ -433,13 +437,13 @@ f AS (
  UNION ALL SELECT 'faixas_plausiveis', 'empresas.capital_social', count(*) FROM k WHERE CAST(c_acctbal AS DECIMAL(18, 2)) < 0
  UNION ALL SELECT 'faixas_plausiveis', 'identidades.vinculos_no_recorte', count(*) FROM i WHERE k % 150 = 0
  UNION ALL SELECT 'faixas_plausiveis', 'socios.data_entrada_sociedade', count(*) FROM k WHERE k % 350 = 0
- UNION ALL SELECT 'chave_unica', 'identidades.identificador', count(*) FROM (SELECT k FROM i GROUP BY k HAVING count(*) > 1)
+ UNION ALL SELECT 'chave_unica', 'identidades.identificador', count(*) FROM (SELECT quem FROM i JOIN p USING (k) GROUP BY quem HAVING count(*) > 1)
  UNION ALL SELECT 'cadeia_de_conservacao', 'socios e identidades', abs((SELECT count(*) FROM k) - (SELECT count(*) FROM i WHERE k % 150 <> 0))
- UNION ALL SELECT 'integridade_referencial', 'vinculo_sem_empresa', count(*) FROM k WHERE k % 200 = 0)
+ UNION ALL SELECT 'integridade_referencial', 'vinculo_sem_empresa', count(*) FROM k WHERE k % 200 = 0
+ UNION ALL SELECT 'integridade_referencial', 'vinculo_sem_identidade', count(DISTINCT quem) FROM p WHERE quem NOT IN (SELECT quem FROM i JOIN p USING (k)))
 SELECT * FROM f WHERE n > 0""")
 def quality_findings(t):
-    unknown = (F.col("regra") == "integridade_referencial") & (F.col("detalhe") == "vinculo_sem_identidade")  # keys of another recipe: its own query
-    return Q.findings(_flawed(t)).where(~unknown)
+    return Q.findings(_flawed(t))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n")
@@ -468,6 +472,15 @@ def dense_index_check(t):
     return G.index_faults(G.dense_index(t.customer.select("c_name"), "c_name"), "idx", "c_name").withColumn("least", F.col("least").cast("long"))
 
 
+@query("""WITH k AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN c_custkey + 1 ELSE c_custkey END AS idx, CASE WHEN c_custkey % 7 = 0 THEN -c_custkey ELSE c_custkey END AS chave FROM customer)
+SELECT (SELECT count(*) FROM k) AS n, (SELECT count(DISTINCT idx) FROM k) AS distinct_n, (SELECT min(idx) FROM k) AS least, (SELECT max(idx) FROM k) AS most,
+  (SELECT count(*) FROM k a JOIN k b ON b.idx = a.idx + 1 WHERE a.chave >= b.chave) AS unordered""")
+def dense_index_broken(t):
+    k = F.col("c_custkey")
+    broken = t.customer.select(F.when(k % 11 == 0, k + 1).otherwise(k).alias("idx"), F.when(k % 7 == 0, -k).otherwise(k).alias("chave"))
+    return G.index_faults(broken, "idx", "chave")
+
+
 @query(f"SELECT no_empresa, no_socio, qualificacao_socio, count(*) AS n FROM ({_DENSE}) GROUP BY 1, 2, 3")
 def edges_with_roles(t):
     return X.dense_links(t).groupBy("no_empresa", "no_socio", "qualificacao_socio").agg(F.count("*").alias("n"))
@@ -532,12 +545,12 @@ def connected_components(t):
 
 @query(f"""WITH RECURSIVE {_graph(_C)}, {_LABELS} SELECT count(*) AS componentes, max(n) AS gigante, CAST(sum(n) - max(n) AS BIGINT) AS fora_do_gigante, count(*) FILTER (WHERE n = 1) AS isolados FROM numbered""")
 def component_summary(t):
-    return C.component_summary(_components(t, X.GIANT)[3])
+    return C.component_summary(_components(t, True)[3])
 
 
 @query(f"WITH RECURSIVE {_graph(_C)}, {_LABELS} SELECT n AS size, count(*) AS n FROM numbered GROUP BY 1")
 def component_histogram(t):
-    return M.histogram(C.component_sizes(_components(t, X.GIANT)[3]), "size")
+    return M.histogram(C.component_sizes(_components(t, True)[3]), "size")
 
 
 @query(f"WITH RECURSIVE {_graph(_B)}, {_LABELS} SELECT component, n AS size FROM numbered ORDER BY component LIMIT 10")
@@ -547,19 +560,19 @@ def largest_components(t):
 
 @query(f"WITH {_graph(_C)} SELECT src AS idx, count(*) AS degree FROM adj GROUP BY 1")
 def degree(t):
-    _, adj, nodes = _graph_of(t, X.GIANT)
+    _, adj, nodes = _graph_of(t, True)
     return G.degrees(adj, nodes)
 
 
 @query(f"WITH {_graph(_C)} SELECT degree, count(*) AS n FROM (SELECT src, count(*) AS degree FROM adj GROUP BY 1) GROUP BY 1")
 def degree_histogram(t):
-    _, adj, nodes = _graph_of(t, X.GIANT)
+    _, adj, nodes = _graph_of(t, True)
     return M.histogram(G.degrees(adj, nodes), "degree")
 
 
 @query(f"WITH {_graph(_C)} SELECT src AS idx, count(*) AS degree FROM adj GROUP BY 1 ORDER BY degree DESC, idx LIMIT 10")
 def hubs_topk(t):
-    _, adj, nodes = _graph_of(t, X.GIANT)
+    _, adj, nodes = _graph_of(t, True)
     return M.hubs(G.degrees(adj, nodes), 10)
 
 
@@ -571,49 +584,49 @@ def graph_metrics(t):
     return M.graph_metrics(G.degrees(adj, nodes), labels).withColumn("grau_medio", F.round("grau_medio", 9))
 
 
-@query(f"""WITH {_graph(_B)}, asked AS (SELECT a, b FROM pairs WHERE a % 3 = 0 UNION SELECT a, b + 2 FROM pairs)
+@query(f"""WITH {_graph(_B)}, asked AS (SELECT a, b FROM pairs UNION SELECT a, b + 2 FROM pairs)
 SELECT a, b, (a, b) IN (SELECT (src, dst) FROM adj) AS adjacent FROM asked""")
 def adjacency_test(t):
     links, adj, _ = _graph_of(t)
     pairs = G.collapse(links).select("a", "b")
-    return G.adjacent(pairs.where("a % 3 = 0").union(pairs.select("a", F.col("b") + 2)).distinct(), adj)
+    return G.adjacent(pairs.union(pairs.select("a", F.col("b") + 2)).distinct(), adj)
 
 
-@query(f"WITH {_graph(_C)} SELECT src AS idx, dst, role FROM adj WHERE src % 50 = 0")
+@query(f"WITH {_graph(_C)} SELECT src AS idx, dst, role FROM adj")
 def neighbours(t):
-    _, adj, nodes = _graph_of(t, X.GIANT)
-    return G.neighbours_of(nodes.where("idx % 50 = 0"), nodes, adj)
+    _, adj, nodes = _graph_of(t, True)
+    return G.neighbours_of(nodes, nodes, adj)
 
 
-_WALKS = "walk(a, b, d) AS (SELECT idx, idx, 0 FROM nodes UNION SELECT a, e.dst, d + 1 FROM walk JOIN adj e ON e.src = b WHERE d < 16), dist AS (SELECT a, b, min(d) AS d FROM walk GROUP BY 1, 2)"
+_WALKS = "walk(a, b, d) AS (SELECT idx, idx, 0 FROM nodes WHERE idx % 50 = 0 UNION SELECT a, e.dst, d + 1 FROM walk JOIN adj e ON e.src = b WHERE d < 64), dist AS (SELECT a, b, min(d) AS d FROM walk GROUP BY 1, 2)"
 
 
-@query(f"WITH RECURSIVE {_graph(_B)}, {_WALKS} SELECT a AS origin, b AS idx, d AS depth FROM dist WHERE a % 4 = 0")
+@query(f"WITH RECURSIVE {_graph(_B)}, {_WALKS} SELECT a AS origin, b AS idx, d AS depth FROM dist")
 def bfs_distance(t):
     _, adj, nodes = _graph_of(t)
-    return T.neighbourhoods(nodes.where("idx % 4 = 0"), adj, 16, T.NO_LIMIT)[0]
+    return T.neighbourhoods(nodes.where("idx % 50 = 0"), adj, 64, T.NO_LIMIT)[0]
 
 
 def _requests(t, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every node with the least of its component and with the next key, and parts that may have no link."""
+    """The query set, ids divisible by 50: each with the least of its component, and with a company that may have no link."""
     least = labels.groupBy("component").agg(F.min("idx").alias("para"))
-    own = labels.join(least, "component").select((F.col("idx") * 2).alias("pair"), F.col("idx").alias("de"), "para")
-    other = nodes.where("idx % 2 = 0").select((F.col("idx") * 2 + 1).alias("pair"), F.col("idx").alias("de"), (F.expr("idx div 2") % 100 * 2 + 2).alias("para"))
+    own = labels.where("idx % 50 = 0").join(least, "component").select((F.col("idx") * 2).alias("pair"), F.col("idx").alias("de"), "para")
+    other = nodes.where("idx % 50 = 0").select((F.col("idx") * 2 + 1).alias("pair"), F.col("idx").alias("de"), (F.expr("idx div 2") % 100 * 2 + 2).alias("para"))
     return own.unionByName(other)
 
 
-_ASKED = """least2 AS (SELECT idx, m FROM least_of), asked AS (SELECT 2 * idx AS pair, idx AS de, m AS para FROM least2
-  UNION ALL SELECT 2 * idx + 1, idx, (idx // 2) % 100 * 2 + 2 FROM nodes WHERE idx % 2 = 0)"""
+_ASKED = """least2 AS (SELECT idx, m FROM least_of), asked AS (SELECT 2 * idx AS pair, idx AS de, m AS para FROM least2 WHERE idx % 50 = 0
+  UNION ALL SELECT 2 * idx + 1, idx, (idx // 2) % 100 * 2 + 2 FROM nodes WHERE idx % 50 = 0)"""
 
 
 @query(f"""WITH RECURSIVE {_graph(_B)}, {_LABELS}, {_WALKS}, {_ASKED}
 SELECT pair, CASE WHEN para NOT IN (SELECT idx FROM nodes) THEN 'sem_vinculo' WHEN d IS NULL THEN 'componentes_diferentes' WHEN d > 4 THEN 'alem_do_limite' ELSE 'encontrado' END AS desfecho,
 para NOT IN (SELECT idx FROM nodes) OR d IS NULL AS afirma_ausencia, coalesce(d, -1) AS distancia
-FROM asked LEFT JOIN dist ON a = de AND b = para WHERE para IN (SELECT idx FROM nodes) OR para // 2 IN (SELECT p_partkey FROM part)""")
+FROM asked LEFT JOIN dist ON a = de AND b = para WHERE para IN (SELECT idx FROM nodes) OR para // 2 IN (SELECT o_orderkey FROM orders)""")
 def path_outcomes(t):
     _, adj, nodes, labels = _components(t)
     catalogue = nodes.select(F.col("idx").alias("cnpj"), "idx")
-    exists = t.part.select((F.col("p_partkey") * 2).alias("cnpj"))
+    exists = t.orders.select((F.col("o_orderkey") * 2).alias("cnpj"))
     answers = V.path_answers(_requests(t, nodes, labels), catalogue, exists, adj, labels, limit=4)
     return answers.select("pair", "desfecho", "afirma_ausencia", F.coalesce("distancia", F.lit(-1)).alias("distancia"))
 
@@ -627,9 +640,9 @@ def path_nodes(t):
 
 @query()
 def path_budget(t):
-    _, adj, nodes, labels = _components(t, X.GIANT)
+    _, adj, nodes, labels = _components(t, True)
     least = labels.where("component = 0").agg(F.min("idx").alias("b"))
-    pairs = labels.where("component = 0 AND idx % 10 = 0").crossJoin(F.broadcast(least)).select(F.col("idx").alias("pair"), F.col("idx").alias("a"), "b")
+    pairs = labels.where("component = 0 AND idx % 50 = 0").crossJoin(F.broadcast(least)).select(F.col("idx").alias("pair"), F.col("idx").alias("a"), "b")
     return T.find_paths(pairs, adj, labels, max_depth=8, budget=200).select("pair", "desfecho", "distancia", "visitados")
 
 
@@ -640,7 +653,7 @@ members AS (SELECT * FROM first UNION ALL SELECT * FROM ring1 UNION ALL SELECT *
 
 
 def _hops(t, cap: int = T.NO_LIMIT):
-    _, adj, nodes = _graph_of(t, X.GIANT)
+    _, adj, nodes = _graph_of(t, True)
     members, facts = T.neighbourhoods(nodes.where("idx % 50 = 0"), adj, 2, cap)
     return adj, members, facts
 
@@ -673,13 +686,13 @@ def neighborhood_cycles(t):
 # ---------------------------------------------------------------- service
 
 
-@query(f"""WITH {_graph(_B)}, asked AS (SELECT 2 * p_partkey + 2 * (p_partkey % 2) * 100000 AS cnpj FROM part)
-SELECT cnpj, coalesce(n.idx, -1) AS idx, CASE WHEN n.idx IS NOT NULL THEN 'no' WHEN p_partkey IS NOT NULL THEN 'sem_vinculo' ELSE 'desconhecida' END AS status
-FROM asked LEFT JOIN nodes n ON n.idx = cnpj LEFT JOIN part ON 2 * p_partkey = cnpj""")
+@query(f"""WITH {_graph(_B)}, asked AS (SELECT 2 * o_orderkey + o_orderkey % 2 * 20000000 AS cnpj FROM orders)
+SELECT cnpj, coalesce(n.idx, -1) AS idx, CASE WHEN n.idx IS NOT NULL THEN 'no' WHEN o_orderkey IS NOT NULL THEN 'sem_vinculo' ELSE 'desconhecida' END AS status
+FROM asked LEFT JOIN nodes n ON n.idx = cnpj LEFT JOIN orders ON 2 * o_orderkey = cnpj""")
 def resolve_status(t):
     _, _, nodes = _graph_of(t)
-    asked = t.part.select((F.col("p_partkey") * 2 + F.col("p_partkey") % 2 * 200000).alias("cnpj"))
-    return V.resolve(asked, nodes.select(F.col("idx").alias("cnpj"), "idx"), t.part.select((F.col("p_partkey") * 2).alias("cnpj"))).withColumn("idx", F.coalesce("idx", F.lit(-1)))
+    asked = t.orders.select((F.col("o_orderkey") * 2 + F.col("o_orderkey") % 2 * 20000000).alias("cnpj"))
+    return V.resolve(asked, nodes.select(F.col("idx").alias("cnpj"), "idx"), t.orders.select((F.col("o_orderkey") * 2).alias("cnpj"))).withColumn("idx", F.coalesce("idx", F.lit(-1)))
 
 
 @query("""SELECT n_nationkey AS pair, array_to_string(list_filter([n_nationkey, n_regionkey + 22], lambda x: x > 22), ',') AS desconhecidas FROM nation WHERE n_nationkey > 22 OR n_regionkey > 0""")
@@ -690,30 +703,36 @@ def unknown_ends(t):
     return found.select("pair", F.array_join(F.transform("desconhecidas", lambda x: x.cast("string")), ",").alias("desconhecidas"))
 
 
-@query(f"""WITH RECURSIVE {_graph(_C)}, {_LABELS}, d AS (SELECT src AS idx, count(*) AS degree FROM adj GROUP BY 1)
-SELECT 2 * p_partkey AS cnpj, d.idx IS NOT NULL AS tem_vinculo, CASE WHEN d.idx IS NOT NULL THEN p_name END AS nome, coalesce(degree, 0) AS vinculos_no_recorte, coalesce(n, 0) AS tamanho_do_componente_no_recorte
-FROM part LEFT JOIN d ON d.idx = 2 * p_partkey LEFT JOIN least_of USING (idx) LEFT JOIN numbered USING (m)""")
+def _company_answers(t, giant: bool) -> DataFrame:
+    """Every order as a company: what is told of it."""
+    _, adj, nodes, labels = _components(t, giant)
+    companies = t.orders.select((F.col("o_orderkey") * 2).alias("cnpj"), F.col("o_orderpriority").alias("nome"))
+    catalogue = companies.join(nodes.select(F.col("idx").alias("cnpj"), "idx"), "cnpj").withColumn("no_recorte", F.lit(True))
+    return V.company_summary(companies.select("cnpj"), catalogue, companies.select("cnpj"), G.degrees(adj, nodes), labels)
+
+
+_COMPANIES = "d AS (SELECT src AS idx, count(*) AS degree FROM adj GROUP BY 1), told AS (SELECT * FROM orders LEFT JOIN d ON d.idx = 2 * o_orderkey LEFT JOIN least_of USING (idx) LEFT JOIN numbered USING (m))"
+
+
+@query(f"""WITH RECURSIVE {_graph(_C)}, {_LABELS}, {_COMPANIES}
+SELECT 2 * o_orderkey AS cnpj, idx IS NOT NULL AS tem_vinculo, CASE WHEN idx IS NOT NULL THEN o_orderpriority END AS nome, coalesce(degree, 0) AS vinculos_no_recorte, coalesce(n, 0) AS tamanho_do_componente_no_recorte FROM told""")
 def company_summary(t):
-    _, adj, nodes, labels = _components(t, X.GIANT)
-    parts = t.part.select((F.col("p_partkey") * 2).alias("cnpj"), F.col("p_name").alias("nome"))
-    catalogue = parts.join(nodes.select(F.col("idx").alias("cnpj"), "idx"), "cnpj").withColumn("no_recorte", F.lit(True))
-    found = V.company_summary(parts.select("cnpj"), catalogue, parts.select("cnpj"), G.degrees(adj, nodes), labels)
+    found = _company_answers(t, True)
     return found.select("cnpj", "tem_vinculo", "nome", "vinculos_no_recorte", F.coalesce("tamanho_do_componente_no_recorte", F.lit(0)).alias("tamanho_do_componente_no_recorte"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_graph(_B)}, {_LABELS}, {_COMPANIES}
+SELECT 2 * o_orderkey AS cnpj, CASE WHEN idx IS NULL THEN 'Existe no recorte sem nenhum vínculo registrado.'
+  ELSE degree || CASE degree WHEN 1 THEN ' vínculo' ELSE ' vínculos' END || ' no recorte, em componente de ' || n || ' nós.' END AS explicacao FROM told""")
 def company_explanations(t):
-    _, adj, nodes, labels = _components(t)
-    parts = t.part.select((F.col("p_partkey") * 2).alias("cnpj"), F.col("p_name").alias("nome"))
-    catalogue = parts.join(nodes.select(F.col("idx").alias("cnpj"), "idx"), "cnpj").withColumn("no_recorte", F.lit(True))
-    return V.company_summary(parts.select("cnpj"), catalogue, parts.select("cnpj"), G.degrees(adj, nodes), labels).select("cnpj", "explicacao")
+    return _company_answers(t, False).select("cnpj", "explicacao")
 
 
 @query()
 def response_nodes(t):
     the_nodes, links = _whole_graph(t)
     adj = materialise(G.adjacency(links), "adj")
-    listed = the_nodes.where("idx % 3 = 0").select(F.lit(1).alias("request"), F.expr("idx div 3").alias("position"), "idx")
+    listed = the_nodes.select(F.lit(1).alias("request"), F.col("idx").alias("position"), "idx")
     return V.answer_nodes(listed, the_nodes, G.degrees(adj, the_nodes))
 
 

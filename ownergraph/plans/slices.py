@@ -30,16 +30,17 @@ def dense_links(t: Tables) -> DataFrame:
     )
 
 
-def sparse_links(t: Tables, condition: str = "l_quantity = 50 AND l_discount >= 0.05") -> DataFrame:
-    """Part (even) and customer (odd): many small components; with a wider condition a giant one."""
-    lines = t.lineitem.where(condition).select("l_orderkey", "l_partkey")
-    orders = t.orders.select("o_orderkey", "o_custkey", F.substring("o_orderpriority", 1, 1).alias("qualificacao_socio"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("l_partkey") * 2).alias("no_empresa"), (F.col("o_custkey") * 2 + 1).alias("no_socio"), "qualificacao_socio"
-    )
-
-
-GIANT = "l_quantity >= 49"
+def sparse_links(t: Tables, giant: bool = False) -> DataFrame:
+    """Every lineitem links its order (even) with its part, quantity and discount (odd): many small components.
+
+    Without the discount the same lineitems form a giant component and hundreds of small ones.
+    """
+    combination = F.col("l_partkey") * 51 + F.col("l_quantity").cast("long")
+    if not giant:
+        combination = combination * 11 + F.round(F.col("l_discount") * 100).cast("long")
+    lines = t.lineitem.select("l_orderkey", (combination * 2 + 1).alias("no_socio"))
+    orders = t.orders.select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("qualificacao_socio"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_orderkey") * 2).alias("no_empresa"), "no_socio", "qualificacao_socio")
 
 
 def linked_nodes(links: DataFrame) -> DataFrame:
