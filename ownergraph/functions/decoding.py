@@ -82,6 +82,11 @@ def thousands(number: Column) -> Column:
     return F.translate(F.format_number(number, 0), ",", ".")
 
 
+def decimal(number: Column, places: int = 2) -> Column:
+    """1234.5 as 1.234,50"""
+    return F.translate(F.format_number(number, places), ",.", ".,")
+
+
 def plural(number: Column, one: str, many: str) -> Column:
     return F.when(number == 1, F.lit(f"1 {one}")).otherwise(F.concat(thousands(number), F.lit(f" {many}")))
 

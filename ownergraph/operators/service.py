@@ -9,7 +9,9 @@ from ownergraph.functions import decoding as D
 from ownergraph.functions import identity as I
 from ownergraph.functions.documents import cnpj_format
 from ownergraph.operators import traversal as T
+from ownergraph.session import materialise
 
+VERSION = "0.2.0"
 NO_LINK, UNKNOWN, NODE = "sem_vinculo", "desconhecida", "no"
 #: Outcomes that say there is no link at all.
 ABSENT = (NO_LINK, T.APART)
@@ -39,8 +41,8 @@ def explain_path(outcome: Column, distance: Column, limit: int) -> Column:
         .when(outcome == NO_LINK, F.lit("Uma das empresas existe no recorte sem nenhum vínculo registrado."))
         .when(outcome == T.APART, F.lit("Nenhum caminho liga as duas empresas, qualquer que seja o limite."))
         .when((outcome == T.BEYOND) & distance.isNotNull(), F.concat(F.lit("O vínculo existe, de "), hops, F.lit(f", além do limite de {most}; o trajeto não é mostrado.")))
-        .when(outcome == T.BEYOND, F.lit(f"Até {most} nada foi achado; isso não nega o vínculo."))
-        .when(outcome == T.SPENT, F.lit("A busca parou no orçamento de nós; isso não nega o vínculo."))
+        .when(outcome == T.BEYOND, F.lit(f"Existe um caminho, mais longo que {most}; o vínculo não está negado."))
+        .when(outcome == T.SPENT, F.lit("Existe um caminho, e a busca parou no orçamento de nós antes de achá-lo; o vínculo não está negado."))
     )
 
 
@@ -111,9 +113,49 @@ def rate_limit(requests: DataFrame, per_window: int = 60, seconds: int = 60) ->
     })
 
 
-def health(nodes: DataFrame, adj: DataFrame, components: DataFrame) -> DataFrame:
-    """One row that tells whether the tables fit together."""
+def neighbourhood_answers(
+    requests: DataFrame, catalogue: DataFrame, existence: DataFrame, nodes: DataFrame, adj: DataFrame, hops: int = 2, cap: int = 1000, expose_people: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Head, nodes and edges of the answers to ``requests`` (request, cnpj) of known companies.
+
+    Nodes stand in order of depth and index; edges are pairs of these positions, never of indices, and all edges
+    between two nodes of an answer are there.  A company without links has an empty answer.
+    """
+    known = resolve(requests, catalogue, existence).where(F.col("status") != UNKNOWN).select("request", "cnpj", "idx")
+    members, facts = T.neighbourhoods(known.where("idx IS NOT NULL").select("idx"), adj, hops, cap)
+    place = Window.partitionBy("origin").orderBy("depth", "idx")
+    placed = materialise(members.withColumn("position", F.row_number().over(place) - 1), "answer-members")
+    sizes = placed.groupBy("origin").agg(F.count("*").alias("n"))
+    told = known.join(facts.join(sizes, "origin").withColumnRenamed("origin", "idx"), "idx", "left")
+    linked = F.col("idx").isNotNull()
+    head = told.select(
+        "request", "cnpj", linked.alias("tem_vinculo"), F.lit(hops).alias("saltos_pedidos"), F.coalesce("saltos", F.lit(0)).alias("saltos"), F.lit(cap).alias("teto_de_nos"),
+        F.coalesce("truncada", F.lit(False)).alias("truncada"), F.coalesce("nivel_recusado", F.lit(0)).alias("nivel_recusado"),
+        F.when(linked, explain_neighbourhood(F.col("n"), F.col("saltos"), F.col("nivel_recusado"))).otherwise(F.lit("Existe no recorte sem nenhum vínculo registrado.")).alias("explicacao"),
+    )
+    asked = known.where("idx IS NOT NULL").select("request", F.col("idx").alias("origin"))
+    listed = asked.join(placed, "origin").select("request", "position", "idx", "depth")
+    shown = answer_nodes(listed, nodes, _degrees(adj, nodes), expose_people).join(listed.select("request", "position", F.col("depth").alias("profundidade")), ["request", "position"])
+    at = lambda end: placed.select("origin", F.col("idx").alias(end), F.col("position").alias(f"__{end}"))
+    pairs = T.induced_edges(placed, adj).join(at("src"), ["origin", "src"]).join(at("dst"), ["origin", "dst"])
+    edges = asked.join(pairs, "origin").select("request", F.least("__src", "__dst").alias("de"), F.greatest("__src", "__dst").alias("para"))
+    return head, shown, edges
+
+
+def _degrees(adj: DataFrame, nodes: DataFrame) -> DataFrame:
+    from ownergraph.operators.graph import degrees
+
+    return degrees(adj, nodes)
+
+
+def health(nodes: DataFrame, adj: DataFrame, components: DataFrame, existence: DataFrame | None = None, period: str | None = None, digests: DataFrame | None = None) -> DataFrame:
+    """One row: version, period, whether the tables fit together, their sizes, and the digests of what is published."""
     a = nodes.agg(F.count("*").alias("nos"))
     b = adj.agg(F.expr("count(*) div 2").alias("arestas"))
     c = components.agg(F.count("*").alias("rotulos"), F.count_distinct("component").alias("componentes"))
-    return a.crossJoin(b).crossJoin(c).withColumn("coerente", F.col("nos") == F.col("rotulos"))
+    whole = a.crossJoin(b).crossJoin(c).withColumn("coerente", F.col("nos") == F.col("rotulos"))  # one row each
+    if existence is not None:
+        whole = whole.crossJoin(existence.agg(F.count("*").alias("empresas_no_recorte")))
+    if digests is not None:  # a row a published file
+        whole = whole.crossJoin(digests.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "sha256")))).alias("artefatos")))
+    return whole.withColumns({"versao": F.lit(VERSION), "competencia": F.lit(period)})

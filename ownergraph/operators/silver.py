@@ -58,6 +58,7 @@ def type_companies(companies: DataFrame, the_slice: DataFrame, natures: DataFram
         F.count("*").alias("empresas"),
         F.count_if(F.col("copies") > 1).alias("cnpj_repetidos"),
         F.count_if(~F.col("__name").eqNullSafe(F.col("razao_social"))).alias("nomes_suprimidos"),
+        F.count_if(D.comma_decimal(F.col("capital_social")).isNull()).alias("capital_ausente"),
         F.count_if(F.col("natureza_juridica_descricao").isNull()).alias("natureza_sem_descricao"),
         F.count_if(F.col("qualificacao_do_responsavel_descricao").isNull()).alias("qualificacao_sem_descricao"),
         F.count_if(F.col("porte_descricao").isNull()).alias("porte_sem_descricao"),
@@ -67,6 +68,7 @@ def type_companies(companies: DataFrame, the_slice: DataFrame, natures: DataFram
         "qualificacao_do_responsavel_descricao", D.comma_decimal(F.col("capital_social")).alias("capital_social"), "porte", "porte_descricao",
         "ente_federativo_responsavel",
     )
+    check_unique(table, "cnpj_basico")
     return table, counters
 
 

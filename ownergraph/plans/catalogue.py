@@ -847,3 +847,6 @@ def newest_complete_period(t):
 @query("""SELECT column_name AS coluna FROM (DESCRIBE SELECT * FROM customer) WHERE column_type = 'VARCHAR'""")
 def text_columns(t):
     return t.spark.createDataFrame([(c,) for c in registry.text_columns(t.customer)], "coluna string")
+
+
+from ownergraph.plans import answers  # noqa: E402, F401  registers its queries here

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ownergraph.errors import BlankDescription, CountMismatch, DuplicateCode, InsufficientSpace, MissingInput
+from ownergraph.sources.sinks import put_in_place
 
 # The tables of the source and their columns, in order.
 ESTABLISHMENTS = (
@@ -83,11 +84,7 @@ def convert(source: DataFrame, target: str, domain: bool = False) -> int:
         raise CountMismatch(f"{before} rows were read for {target}, {after} were written")
     if domain:
         check_domain(written)
-    path, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (partial, target))
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(old, True)
-    if not system.rename(path, old):
-        raise CountMismatch(f"{partial} could not be put in place")
+    put_in_place(spark, partial, target)
     return after
 
 
@@ -98,6 +95,30 @@ def convert_table(spark: SparkSession, name: str, paths: str | list[str], folder
     return convert(read_extract(spark, paths, TABLES[name], encoding), os.path.join(folder, f"{name}.parquet"), name in DOMAINS)
 
 
+def chosen(name: str) -> list[str]:
+    """``principais`` are the three large tables, ``tudo`` is all of them."""
+    groups = {"principais": list(TABLES)[:3], "tudo": list(TABLES)}
+    return groups.get(name, [name])
+
+
+def convert_folder(spark: SparkSession, name: str, folder: str, target: str) -> int:
+    """A table from all its extracts in a local folder, after a look at the space that is left for it; rows written.
+
+    The extracts of a table are named after it, with or without a number.
+    """
+    stem = {"estabelecimentos": "Estabelecimentos", "empresas": "Empresas", "socios": "Socios"}.get(name, name.capitalize())
+    paths = sorted(os.path.join(folder, x) for x in os.listdir(folder) if x.startswith(stem) and x.endswith(".csv"))
+    if not paths:
+        raise MissingInput(f"no extract of {name} in {folder}")
+    os.makedirs(target, exist_ok=True)
+    check_space(target, sum(map(os.path.getsize, paths)))
+    rows = convert_table(spark, name, paths, target)
+    by_file = {os.path.basename(r["file"]): r["n"] for r in rows_by_file(read_extract(spark, paths, TABLES[name])).collect()}  # a row an extract
+    if sum(by_file.values()) != rows:
+        raise CountMismatch(f"{name}: the extracts have {sum(by_file.values())} rows, the table has {rows}")
+    return rows
+
+
 def rows_by_file(source: DataFrame) -> DataFrame:
     """``file, n``: how much each extract brought."""
     return source.select(F.input_file_name().alias("file")).groupBy("file").agg(F.count("*").alias("n"))
