@@ -1,9 +1,10 @@
 """BPE encoding as a streaming transducer with bounded lookahead, and decoding as an incremental state machine.
 
-The vocabulary is a tokenizer file of the ``tokenizers`` library.  A piece of text between pre-token
-boundaries is merged at once while it is short.  A longer one streams through a window: a token is emitted
-once it is stable, that is once it ends ``lookahead`` symbols before the window does; what follows a stable
-boundary encodes by itself, so the window moves there and memory stays constant.
+The vocabulary is a tokenizer file of the ``tokenizers`` library.  Every pre-token streams through the
+transducer, a window of twice the lookahead: a token is emitted once it is stable, that is once it ends
+``lookahead`` symbols before the window does; what follows a stable boundary encodes by itself, so the window
+moves there and its memory stays constant.  The end of a pre-token makes all that is held stable.  A bounded
+memory of short pre-tokens stands in front of it.
 
 ``lookahead`` follows from the merge list.  A merge (u, v) can be undone from its right only by an earlier
 merge that takes v (or that takes a part of v, or of u, before they are formed), which again depends on what
@@ -31,8 +32,8 @@ from ownergraph.session import table
 
 #: Entries of a task's memory of pre-tokens, and the longest of them.
 CACHED_PIECES, CACHED_CHARS = 400_000, 40
-#: Characters that are pre-tokenised at once, and symbols in the window of the transducer.
-CHUNK, WINDOW = 1 << 18, 4096
+#: Characters that are pre-tokenised at once, and bytes that the transducer is fed with.
+CHUNK, FEED = 1 << 18, 1 << 10
 #: Pieces up to here are merged by plain scans, longer ones with a heap.
 SCAN = 48
 #: The rank of a pair that does not merge, and a symbol that another has taken.
@@ -99,7 +100,7 @@ class Codec:
         letters, numbers, unsure = _classes()
         self.unsure = re.compile(f"[{unsure}]")
         self.spaces = re.compile(f"[{SPACES}]+")
-        self.cut = re.compile(f"(?<=[^{SPACES}])[{SPACES}]")
+        self.cut = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])|(?<=[{letters}])(?=[{numbers}])|(?<=[{numbers}])(?=[{letters}])")
         tails = "'s|'t|'re|'ve|'m|'ll|'d"
         if self.lowers:
             self.pieces = re.compile(f"{tails}|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
@@ -113,7 +114,7 @@ class Codec:
         self.rank_of = {(self.vocab[u], self.vocab[v]): rank for (u, v), rank in self.ranks.items()}.get
         self.width = {i: self._width(t) for t, i in self.vocab.items()}
         self.lookahead = self._lookahead()
-        self.window = max(WINDOW, 4 * self.lookahead)
+        self.window = max(2 * self.lookahead, 16)
 
     def _width(self, token: str) -> int:
         """Symbols of a token; the last one may carry the word's end."""
@@ -176,17 +177,10 @@ class Codec:
 
     def encode_bytes(self, raw: bytes) -> Iterator[list[int]]:
         """The ids of one pre-token, as they become stable."""
-        at = 0
-        while len(raw) - at > self.window:
-            ready, end = [], 0
-            for token in self._merged(self._symbols(raw[at : at + self.window], False)):
-                if end + self.width[token] > self.window - self.lookahead:
-                    break
-                end += self.width[token]
-                ready.append(token)
-            yield ready
-            at += end
-        yield self._merged(self._symbols(raw[at:], True))
+        stream = Transducer(self)
+        for at in range(0, len(raw), FEED):
+            yield from stream.feed(raw[at : at + FEED])
+        yield stream.finish()
 
     def _segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Ordinary stretches, and the ids of added tokens between them."""
@@ -199,7 +193,7 @@ class Codec:
         yield text[at:] if at else text, None
 
     def _chunks(self, text: str) -> Iterator[str]:
-        """Parts of bounded length; cuts before white space change no pre-token."""
+        """Parts of bounded length; cuts before white space, or between letters and numbers, change no pre-token."""
         at = 0
         while len(text) - at > CHUNK and (found := self.cut.search(text, at + CHUNK)):
             yield text[at : found.start()]
@@ -239,6 +233,31 @@ class Codec:
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+class Transducer:
+    """Bytes of one pre-token in, stable ids out; it never holds more than a window and what one feed brings."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.held = codec, b""
+
+    def feed(self, raw: bytes) -> Iterator[list[int]]:
+        codec = self.codec
+        self.held += raw
+        while len(self.held) > codec.window:
+            ready, end = [], 0
+            for token in codec._merged(codec._symbols(self.held[: codec.window], False)):
+                if end + codec.width[token] > codec.window - codec.lookahead:
+                    break
+                end += codec.width[token]
+                ready.append(token)
+            self.held = self.held[end:]
+            yield ready
+
+    def finish(self) -> list[int]:
+        """The rest, once no byte follows."""
+        rest, self.held = self.held, b""
+        return self.codec._merged(self.codec._symbols(rest, True))
+
+
 class Pieces(dict):
     """A bounded memory from pre-tokens to their ids, in the form that ``wrap`` gives them."""
 

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch: long texts must not add up in a Python worker.
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the contracts: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of this session small."""
+    """Keep the Arrow batches of this session small, by rows and by bytes; a lazy plan reads the settings when it runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_or_empty(name: str = "text") -> Column:

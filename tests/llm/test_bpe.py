@@ -50,6 +50,24 @@ def test_long_runs_stream_through_the_window(both, monkeypatch):
     assert ids_of(codec, text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_pre_token_goes_through_the_bounded_window(both, monkeypatch):
+    codec, library = both
+    codec.window = 2 * codec.lookahead
+    most, fed, plain = [0], [0], bpe.Transducer.feed
+
+    def feed(self, raw):
+        fed[0] += len(raw)
+        for part in plain(self, raw):
+            yield part
+            most[0] = max(most[0], len(self.held))
+
+    monkeypatch.setattr(bpe.Transducer, "feed", feed)
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("theinganrsto") for _ in range(400_000)) + "".join(rnd.choice("a1b2") for _ in range(300_000))
+    assert ids_of(codec, text) == library.encode(text, add_special_tokens=False).ids
+    assert fed[0] >= 400_000 and most[0] <= codec.window + bpe.FEED
+
+
 def test_no_emitted_token_changes_with_what_follows(both):
     codec, _ = both
     rnd = random.Random(3)
