@@ -12,6 +12,8 @@ everything that follows up to the finished fingerprints stays in place.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +28,21 @@ DIGITS = 4
 BLANK_RUN = "[ \t\n\\x0B\f\r]+"
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(2**63)
-#: A value is left out only if it is the smallest with a probability below exp(-SURE); a sample that is lost so is 0.
+#: A value is left out at first only if it is the smallest with a probability below exp(-SURE); documents with a sample
+#: whose smallest value does not prove that no smaller one was left out are taken again, with all values.
 SURE = 20.0
 _UNIT21, _UNIT22 = 2.0**-21, 2.0**-22
 
 
-def _sample(sample: Column, hashed: Column, weight: Column, log_weight: Column, total: Column) -> Column:
-    """One term's value and identity in one sample, as a long; null without a weight or where it cannot be the smallest.
+def _scaled(log_value: Column) -> Column:
+    return F.floor((log_value + F.lit(512.0)) * F.lit(2.0**20))
+
+
+def _sample(sample: Column, hashed: Column, weight: Column, log_weight: Column, total: Column, sure: float | None) -> Column:
+    """One term's value and identity in one sample, as a long; null without a weight or, given ``sure``, where it is hardly the smallest.
 
     A value is exponential with the term's weight as its rate, and the smallest one with the ``total``, so it is
-    beyond SURE / total with a probability of exp(-SURE).  No value is below (1 - v) * u / weight, where u and v are the
+    beyond sure / total with a probability of exp(-sure).  No value is below (1 - v) * u / weight, where u and v are the
     products of the uniforms behind r and c: that needs no logarithm and rules most terms of a long text out.
     """
     one, two = F.xxhash64(hashed, sample), F.xxhash64(sample, hashed)
@@ -50,15 +57,19 @@ def _sample(sample: Column, hashed: Column, weight: Column, log_weight: Column,
     value = F.log(-F.log(v)) - r * (t - b + F.lit(1.0))
     # t of tiny r is large; its low bits tell levels of one term apart
     identity = (two.bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseXOR(t.bitwiseAND(F.lit(0xFFFFF)) * F.lit(0x9E3)).bitwiseAND(F.lit(0xFFFFFFFF))
-    packed = F.shiftleft(F.floor((value + F.lit(512.0)) * F.lit(2.0**20)), 32).bitwiseOR(identity)
-    return F.when((F.lit(1.0) - v) * u * total <= weight * F.lit(SURE), packed)
+    packed = F.shiftleft(_scaled(value), 32).bitwiseOR(identity)
+    return packed if sure is None else F.when((F.lit(1.0) - v) * u * total <= weight * F.lit(sure), packed)
 
 
-def signatures(weights: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], samples: int = SAMPLES) -> DataFrame:
+def signatures(
+    weights: DataFrame, keys: list[str], columns: dict[str, tuple[str, str]], samples: int = SAMPLES, sure: float | None = None
+) -> DataFrame:
     """``keys`` and a fingerprint for each of ``columns`` (name: columns of weight and total) from rows of ``keys``, ``hashed`` and these.
 
     The total is the sum of a document's weights or less.  Weights that are null or not above 0 take no part; a
-    document without any has a fingerprint of zeros, and one without rows none.
+    document without any has a fingerprint of zeros, and one without rows none.  ``sure`` rules values out as
+    ``_sample`` says; ``lost_`` and the name then says whether one that was ruled out may be the smallest of its sample: all of
+    those are above sure / total, so a smallest value below that is right.
     """
     logged = weights.select(
         *keys, "hashed",
@@ -68,9 +79,9 @@ def signatures(weights: DataFrame, keys: list[str], columns: dict[str, tuple[str
         F.explode(F.sequence(F.lit(0), F.lit(samples // TOGETHER - 1))).alias("__group"),
     )
     least = logged.groupBy(*keys, "__group").agg(*(
-        F.min(_sample(F.col("__group") * TOGETHER + d, F.col("hashed"), F.col(f"__weight_{n}"), F.col(f"__log_{n}"), F.col(f"__total_{n}"))).alias(f"__{n}_{d}")
+        F.min(_sample(F.col("__group") * TOGETHER + d, F.col("hashed"), F.col(f"__weight_{n}"), F.col(f"__log_{n}"), F.col(f"__total_{n}"), sure)).alias(f"__{n}_{d}")
         for d in range(TOGETHER) for n in columns
-    ))
+    ), *(F.max(f"__total_{n}").alias(f"__total_{n}") for n in columns))
 
     def digits(name: str) -> Column:
         return F.concat(*(
@@ -78,9 +89,17 @@ def signatures(weights: DataFrame, keys: list[str], columns: dict[str, tuple[str
             for c in (F.coalesce(f"__{name}_{d}", F.lit(0)) for d in range(TOGETHER))
         ))
 
-    parts = least.select(*keys, F.struct("__group", *(digits(n).alias(n) for n in columns)).alias("__part"))
+    def lost(name: str) -> Column:
+        if sure is None:
+            return F.lit(False)
+        proven = _scaled(F.log(F.lit(sure) / F.col(f"__total_{name}"))) - 1  # less one for what rounding may change
+        return reduce(Column.__or__, (F.coalesce(F.shiftright(f"__{name}_{d}", 32) >= proven, F.lit(True)) for d in range(TOGETHER)))
+
+    parts = least.select(*keys, F.struct("__group", *(digits(n).alias(n) for n in columns), *(lost(n).alias(f"lost_{n}") for n in columns)).alias("__part"))
     found = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("__part")).alias("__parts"))
-    return found.select(*keys, *(F.array_join(F.col(f"__parts.{n}"), "").alias(n) for n in columns))
+    return found.select(
+        *keys, *(F.array_join(F.col(f"__parts.{n}"), "").alias(n) for n in columns), *(F.array_contains(F.col(f"__parts.lost_{n}"), True).alias(f"lost_{n}") for n in columns)
+    )
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -124,7 +143,7 @@ def neighbours(ids: DataFrame, parts: int) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES, sure: float | None = SURE) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` per row of ``docs``.
 
     The edited text has its last quarter (code points, rounded down) replaced by as many first ones of the next
@@ -137,15 +156,17 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text")
-    )  # every use below takes these three columns, so the exchange that carries the texts is made once and reused
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty().alias("text"))
+    # rows of one id are told apart by their texts' order, the same however often a task runs; the exchange that carries
+    # the texts lies below it and is the same for all uses, so it is made once
+    numbered = base.withColumn("row", F.row_number().over(Window.partitionBy("id").orderBy("text")))
     ids = base.groupBy("id").agg(F.max(F.floor(F.char_length("text") / 4)).alias("need"))
     links = materialise(neighbours(ids, parts), "fingerprint-links")
-    placed = base.join(links.hint("shuffle_hash"), "id")
+    placed = numbered.join(links.hint("shuffle_hash"), "id")
     heads = (
-        placed.select(F.col("previous").alias("id"), F.struct(F.substring("text", F.lit(1), F.col("previous_need").cast("int")).alias("head"), "row").alias("head"))
-        .groupBy("id").agg(F.min("head").alias("head")).select("id", "head.head")
+        placed.where("row = 1")  # the smallest text
+        .select(F.col("previous").alias("id"), F.substring("text", F.lit(1), F.col("previous_need").cast("int")).alias("head"))
+        .groupBy("id").agg(F.min("head").alias("head"))
     )
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
@@ -153,7 +174,11 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         "id", "row", "next", "text",
         F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("head", F.lit(1), quarter)).alias("edited"),
     )
-    found = signatures(term_weights(texts, ["id", "row"], ["text", "edited"]), ["id", "row"], {"fingerprint": ("text", "n_text"), "edited_fingerprint": ("edited", "n_edited")}, samples)
+    weighed = {"fingerprint": ("text", "n_text"), "edited_fingerprint": ("edited", "n_edited")}
+
+    def signed(given: DataFrame, sure: float | None) -> DataFrame:
+        return signatures(term_weights(given, ["id", "row"], ["text", "edited"]), ["id", "row"], weighed, samples, sure)
+
     facts = texts.select(
         "id", "row", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         *((F.btrim(t, F.lit(BLANKS)) != "").alias(f"has_{f}") for t, f in (("text", "fingerprint"), ("edited", "edited_fingerprint"))),
@@ -161,14 +186,22 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     made = materialise(
         # rows of one id are told apart beside the key, so that both sides stay dealt by id as they are
         facts.join(
-            found.withColumnsRenamed({"id": "__id", "row": "__row"}).hint("shuffle_hash"),
+            signed(texts, sure).withColumnsRenamed({"id": "__id", "row": "__row"}).hint("shuffle_hash"),
             (F.col("id") == F.col("__id")) & (F.col("row") - F.col("__row") == 0), "left",
         ).select(
-            "id", F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "next", "n_chars", "edited_sha256",
-            *(F.when(F.col(f"has_{f}"), F.col(f)).otherwise("").alias(f) for f in ("fingerprint", "edited_fingerprint")),
+            "id", "row", F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "next", "n_chars", "edited_sha256",
+            *(F.when(F.col(f"has_{f}"), F.col(f)).otherwise("").alias(f) for f in weighed),
+            reduce(Column.__or__, (F.col(f"has_{f}") & F.col(f"lost_{f}") for f in weighed)).alias("lost"),
         ),
         "fingerprint-made",
     )
+    if sure is not None and not made.where("lost").isEmpty():
+        lost = made.where("lost").select("id", "row")
+        whole = signed(texts.join(lost, ["id", "row"], "left_semi"), None).select("id", "row", *(F.col(f).alias(f"__{f}") for f in weighed))
+        made = materialise(
+            made.join(whole, ["id", "row"], "left").withColumns({f: F.when(F.col("lost") & (F.col(f) != ""), F.col(f"__{f}")).otherwise(F.col(f)) for f in weighed}),
+            "fingerprint-whole",
+        )
     following = made.groupBy("id").agg(F.min("fingerprint").alias("__following")).withColumnRenamed("id", "next")
     return made.join(following.hint("shuffle_hash"), "next").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

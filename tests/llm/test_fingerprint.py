@@ -60,3 +60,21 @@ def test_edges(spark):
     assert Counter(r.doc_id for r in rows) == Counter({1: 3, None: 1, 2: 1, 3: 1})
     assert len({r.fingerprint for r in rows if r.doc_id == 1}) == 2
     assert fingerprint.fingerprints(odd.limit(0)).count() == 0
+
+
+def test_lost_samples_are_taken_again(spark):
+    """However many values are ruled out at first, the results are those of all values."""
+    rnd = random.Random(5)
+    rows = [(i // 2, " ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(0, 90)))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[7], (200, None), (201, " ")], "doc_id long, text string").repartition(4)
+    every = Counter(fingerprint.fingerprints(docs, sure=None).collect())
+    assert Counter(fingerprint.fingerprints(docs, sure=0.3).collect()) == every
+    assert Counter(fingerprint.fingerprints(docs).collect()) == every
+
+
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    """No row number depends on how the input is dealt, so a task that runs again finds the same rows."""
+    docs = spark.createDataFrame([(d, f"{d} {i % 4} " * (3 + i)) for d in (1, 2) for i in range(9)], "doc_id long, text string")
+    assert Counter(fingerprint.fingerprints(docs.repartition(1)).collect()) == Counter(fingerprint.fingerprints(docs.repartition(7)).collect())
+    plan = fingerprint.fingerprints(docs)._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" not in plan
