@@ -164,8 +164,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, sure: float | None = S
     links = materialise(neighbours(ids, parts), "fingerprint-links")
     placed = numbered.join(links.hint("shuffle_hash"), "id")
     heads = (
-        placed.where("row = 1")  # the smallest text
-        .select(F.col("previous").alias("id"), F.substring("text", F.lit(1), F.col("previous_need").cast("int")).alias("head"))
+        # the smallest text has the smallest head; to choose the row by number would keep the exchange from being reused
+        placed.select(F.col("previous").alias("id"), F.substring("text", F.lit(1), F.col("previous_need").cast("int")).alias("head"))
         .groupBy("id").agg(F.min("head").alias("head"))
     )
     n = F.char_length("text")
