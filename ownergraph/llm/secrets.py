@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +28,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so the length may stand
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 #: Digests in hexadecimal (MD5, SHA-1, SHA-2) and what stands before them or before digests in base64.
 _DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}")
-_DIGEST_NAME = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)|integrity|checksum|digest|etag|commit)[\"']?[\s:=_-]*[\"']?$", re.IGNORECASE)
+_DIGEST_NAME = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)|integrity|checksum|digest|etag|commit)[\"']?[\s:=_-]*[\"']?", re.IGNORECASE)
 _NAMED = re.compile(r"sha(?:1|256|384|512)-")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words and short numbers with separators between all of them: names, paths, slugs.  Each part is of one kind, so the pattern is unambiguous.
 _NAMES = re.compile(r"[/_+=-]*(?:[A-Za-z]+|[0-9]{1,8})(?:[/_+=-]+(?:[A-Za-z]+|[0-9]{1,8}))+[/_+=-]*")
 _LETTERS = re.compile(r"[A-Za-z]+")
-_KNOWN_IDS = re.compile(r"https?://\S*$|www\.\S*$|[\w.+-]+@$|@[\w.-]*$")
+#: Links, and what follows an @; runs in them are parts of known identifiers.
+_LINK = re.compile(r"(https?://|www\.)\S*")
+_HOST = re.compile(r"@[\w.-]*")
 
 
 @lru_cache(maxsize=2)
@@ -65,22 +68,51 @@ def _is_name(run: str, coder) -> bool:
     return all(tokens == 1 or letters >= MAX_RATIO * tokens for letters, tokens in sizes)
 
 
+def _reaches(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether the last of the disjoint ``spans`` that starts before ``at`` goes on to it."""
+    i = bisect_left(spans, (at,))
+    return i > 0 and spans[i - 1][1] >= at
+
+
+def _introduced(text: str) -> list[list[tuple[int, int]]]:
+    """Disjoint spans, however long, that make a run which they reach a digest or a part of an identifier."""
+    return [
+        [m.span() for m in _DIGEST_NAME.finditer(text)],
+        [(m.end(1) - 1, m.end()) for m in _LINK.finditer(text)],  # a run counts from the end of the link's prefix on
+        [m.span() for m in _HOST.finditer(text)],
+    ]
+
+
+def _covers(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The disjoint stretches that ``spans``, by start, cover."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], coder) -> list[tuple[int, int, str]]:
     """Runs with letters and digits, outside of the base spans, that are no digest or identifier, and that take more
     than a token for each ``MAX_RATIO`` characters; names whose numbers alone take the tokens are identifiers."""
     out = []
+    covered, introduced = _covers(base), None
     for m in _RUN.finditer(text):
         run, start, end = m[0], m.start(), m.end()
         if run.isalpha() or run.isdigit() or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
             continue
-        if any(a < end and start < b for a, b, _ in base):
+        i = bisect_left(covered, (end,))
+        if i > 0 and covered[i - 1][1] > start:
             continue
-        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NAMED.match(run):
+        if _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _NAMED.match(run) or text[end : end + 1] == "@":
             continue
-        ahead = text[max(0, start - 200) : start]
-        if _DIGEST_NAME.search(ahead[-24:]) or _KNOWN_IDS.search(ahead) or text[end : end + 1] == "@":
+        if len(run) >= MAX_RATIO * len(coder.encode_ordinary(run)) or _is_name(run, coder):
             continue
-        if len(run) < MAX_RATIO * len(coder.encode_ordinary(run)) and not _is_name(run, coder):
+        if introduced is None:
+            introduced = _introduced(text)
+        if not any(_reaches(spans, start) for spans in introduced):
             out.append((start, end, "random"))
     return out
 

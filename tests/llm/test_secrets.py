@@ -60,6 +60,39 @@ def test_random_keys_of_each_alphabet():
             assert found >= 0.98 * len(keys), (letters, n, found, len(keys))
 
 
+def test_what_introduces_a_run_may_be_far_before_it():
+    """Held against patterns that look back over the whole text, at any distance."""
+    key, coder = "9fK3xQ7LmZ2vT8bN4cR6wY1sD5", secrets.encoding(open(PATH, "rb").read())
+    for text in ("https://a.example/" + "v.w/" * 300 + "." + key, "sha256" + " " * 500 + key, "user@" + "mail." * 100 + key, 'etag" : "' + key):
+        assert spans_of(text) == [], text
+    for text in ("https://a.example/ " + key, "https://" + key, "sha256. " + key, "user@mail, " + key, "x" * 300 + "." + key):
+        assert [k for _, k in spans_of(text)] == ["random"], text
+    name = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)|integrity|checksum|digest|etag|commit)[\"']?[\s:=_-]*[\"']?\Z", re.I)
+    known = re.compile(r"https?://\S*\Z|www\.\S*\Z|@[\w.-]*\Z")
+    rnd = random.Random(6)
+    bits = [key, key, "md5", "SHA-256", "sha1", "commit", "https://", "www.", "@", ".", ":", "=", "-", '"', "'", " ", "\n", "é", "a", "/", "?"]
+    seen = set()
+    for _ in range(5000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 12)))
+        base = secrets.base_spans(text)
+        found = {(a, b) for a, b, _ in secrets.random_spans(text, base, coder)}
+        for m in secrets._RUN.finditer(text):
+            if key not in m[0] or secrets._NAMED.match(m[0]) or secrets._is_name(m[0], coder) or text[m.end() : m.end() + 1] == "@":
+                continue
+            if len(m[0]) < secrets.MAX_RATIO * len(coder.encode_ordinary(m[0])):
+                lost = bool(name.search(text[: m.start()]) or known.search(text[: m.start()]))
+                seen.add(lost)
+                assert (m.span() in found) == (not lost), text
+    assert seen == {True, False}
+
+
+def test_many_runs_and_spans_in_one_text():
+    key = "9fK3xQ7LmZ2vT8bN4cR6wY1sD5"
+    assert spans_of(f"https://a.example/{('.' + key) * 20000}") == []
+    found = spans_of(f"password=abcdef12 {key} " * 20000)
+    assert found == [("password=abcdef12", "assign"), (key, "random")] * 20000
+
+
 def test_names_with_numbers_do_not():
     for text in ("report-2024-11-26-2024-11-27", "/release/2024/11/26/build/1234/", "edit_20240102_123456_20240103"):
         assert spans_of(text) == [], text
