@@ -241,7 +241,7 @@ def neighbourhood_answer_edges(t):
 
 @query("SELECT c_custkey, replace(replace(replace(format('{:,.2f}', round(c_acctbal, 2)), ',', '#'), '.', ','), '#', '.') AS valor FROM customer")
 def decimal_text(t):
-    return t.customer.select("c_custkey", D.decimal(F.round("c_acctbal", 2)).alias("valor"))
+    return t.customer.select("c_custkey", D.decimal(F.col("c_acctbal")).alias("valor"))
 
 
 @query(f"""WITH {_graph(_C)}, d AS (SELECT src AS idx, count(*) AS degree FROM adj GROUP BY 1)

@@ -86,6 +86,17 @@ def test_thousands(spark):
     assert values(spark, [3154, 19770618, 7], D.thousands, "long") == ["3.154", "19.770.618", "7"]
 
 
+def test_decimal_texts_are_those_of_sql(spark):
+    import duckdb
+
+    given = [
+        -0.0, -0.001, 0.005, 1.005, 2.675, 8276.845, -326.155, 0.28500000000000003, 0.49999999999999994, -999.99, 1234567.125, 123456789012345.67, 4503599627370497.5,
+        2.0**45 + 0.33, 1e15, 2.0**53 + 2, 3.4e19, -4.989622584012291e30, 8e37, 7.0, None, float("nan"), float("inf"), float("-inf"),
+    ]
+    sql = "SELECT replace(replace(replace(format('{:,.2f}', round(?::DOUBLE, 2)), ',', '#'), '.', ','), '#', '.')"
+    assert values(spark, given, D.decimal, "double") == [duckdb.execute(sql, [v]).fetchone()[0] for v in given]
+
+
 @pytest.mark.parametrize(("proxies", "sent", "want"), [(1, "1.1.1.1, 2.2.2.2", "2.2.2.2"), (2, "1.1.1.1, 2.2.2.2", "1.1.1.1"), (0, "1.1.1.1", "9.9.9.9"), (1, "", "9.9.9.9"), (2, "2.2.2.2", "9.9.9.9"), (1, None, "9.9.9.9")])
 def test_clients(spark, proxies, sent, want):
     assert values(spark, [sent], lambda c: D.client_of(c, F.lit("9.9.9.9"), proxies)) == [want]
