@@ -1,10 +1,10 @@
 """Lossless WebP: bytes to pixel arrays and back.
 
 ``decode`` reads the whole format: prefix codes in groups, back-references with their 2-D distances, the
-colour cache, and the predictor, cross-colour, subtract-green and palette transforms.  Where the codes of a
-picture rule out references and cache hits and give every sample eight bits, its samples are read as arrays;
-all others are read symbol by symbol.  ``encode`` can use each part of the format; media columns store
-payloads after the predictor, cross-colour and subtract-green transforms, with eight-bit codes.
+colour cache, and the predictor, cross-colour, subtract-green and palette transforms.  Pictures with one group
+of codes are read as arrays, others and the smallest ones symbol by symbol.  ``encode`` can use each part of the format; media columns store
+payloads after the predictor, cross-colour and subtract-green transforms (and a palette, where there are few
+colours), with references, a cache and prefix codes by their own counts.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ class _Writer:
 # ---------------------------------------------------------------- prefix codes
 
 
-def _canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
+def _canonical(lengths) -> dict[int, tuple[int, int]]:
     """Symbol to (code as it stands in the stream, bits)."""
     code, last, out = 0, 0, {}
     for n, symbol in sorted((n, s) for s, n in enumerate(lengths) if n):
@@ -130,22 +130,39 @@ def _canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
 
 
 class _Code:
-    """A prefix code: one symbol of no bits, or a table over the next 15 bits."""
-
-    def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.lengths = lengths
-        self.single = used[0] if len(used) == 1 else None
-        if not used:
+    """A prefix code: one symbol of no bits, or tables over the next bits."""
+
+    def __init__(self, lengths: bytes):
+        self.lengths, self._table = lengths, None
+        bits = np.frombuffer(lengths, np.uint8)
+        self.used = np.flatnonzero(bits)
+        self.single = int(self.used[0]) if len(self.used) == 1 else None
+        if not len(self.used):
             raise Broken("a prefix code without symbols")
+        self.top = 0
         if self.single is None:
-            if sum(1 << (15 - n) for n in lengths if n) != 1 << 15:
+            bits = bits[self.used].astype(np.int64)
+            if (32768 >> bits).sum() != 32768:
                 raise Broken("a prefix code that is not complete")
-            self.top = max(lengths)
-            self.table = [None] * (1 << self.top)
-            for symbol, (code, n) in _canonical(lengths).items():
+            order = np.argsort(bits, kind="stable")
+            self.used, self.bits, self.top = self.used[order], bits[order], int(bits.max())
+
+    @property
+    def table(self) -> list[tuple[int, int]]:
+        """Symbol and bits by the next ``top`` bits as they stand in the stream."""
+        if self._table is None:
+            self._table = [None] * (1 << self.top)
+            for symbol, (code, n) in _canonical(self.lengths).items():
                 for i in range(code, 1 << self.top, 1 << n):
-                    self.table[i] = (symbol, n)
+                    self._table[i] = (symbol, n)
+        return self._table
+
+    def arrays(self, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and bits by the next ``wide`` bits, the first bit highest."""
+        if self.single is not None:
+            return np.full(1 << wide, self.single), np.zeros(1 << wide, np.int64)
+        spans = 1 << (wide - self.bits)
+        return np.repeat(self.used, spans), np.repeat(self.bits, spans)
 
     def read(self, bits: _Reader) -> int:
         if self.single is not None:
@@ -156,41 +173,72 @@ class _Code:
 
 
 @lru_cache(maxsize=64)
-def _code(lengths: tuple[int, ...]) -> _Code:
-    return _Code(list(lengths))
+def _code(lengths: bytes) -> _Code:
+    return _Code(lengths)
+
+
+#: Extra bits, the least run, and whether it repeats the last length.
+_RUNS = {16: (2, 3, True), 17: (3, 3, False), 18: (7, 11, False)}
+
+
+@lru_cache(maxsize=4096)
+def _one(symbol: int, alphabet: int) -> _Code:
+    return _Code(bytes(symbol) + b"\1" + bytes(alphabet - 1 - symbol))
 
 
 def _read_code(bits: _Reader, alphabet: int) -> _Code:
-    lengths = [0] * alphabet
+    lengths = bytearray(alphabet)
     if bits.bits(1):  # one or two symbols
         two = bits.bits(1)
         first = bits.bits(8 if bits.bits(1) else 1)
         symbols = [first, bits.bits(8)] if two else [first]
+        if not two and first < alphabet:
+            return _one(first, alphabet)
         for s in symbols:
             if s >= alphabet:
                 raise Broken("a symbol beyond its alphabet")
             lengths[s] = 1
-        return _code(tuple(lengths))
+        return _code(bytes(lengths))
     order = [0] * 19
-    for i in range(4 + bits.bits(4)):
-        order[CODE_LENGTH_ORDER[i]] = bits.bits(3)
-    meta = _code(tuple(order))
+    many = 4 + bits.bits(4)
+    given = bits.bits(3 * many)
+    for i, s in enumerate(CODE_LENGTH_ORDER[:many]):
+        order[s] = given >> 3 * i & 7
+    meta = _code(bytes(order))
     left = alphabet if not bits.bits(1) else 2 + bits.bits(2 + 2 * bits.bits(3))
     at, last = 0, 8
+    table, mask = ([(meta.single, 0)], 0) if meta.single is not None else (meta.table, (1 << meta.top) - 1)
+    value, held = bits.value, bits.held
     while at < alphabet and left:
         left -= 1
-        s = meta.read(bits)
+        if held < 22:
+            more = bits.data[bits.at : bits.at + 24]
+            value |= int.from_bytes(more, "little") << held
+            held += 8 * len(more)
+            bits.at += len(more)
+        s, n = table[value & mask]
+        value >>= n
+        held -= n
         if s < 16:
             lengths[at] = s
             at += 1
             last = s or last
             continue
-        value, n = (last, 3 + bits.bits(2)) if s == 16 else (0, 3 + bits.bits(3)) if s == 17 else (0, 11 + bits.bits(7))
+        wide, least, repeated = _RUNS[s]
+        n = least + (value & ((1 << wide) - 1))
+        value >>= wide
+        held -= wide
+        if held < 0:
+            break
         if at + n > alphabet:
             raise Broken("more code lengths than symbols")
-        lengths[at : at + n] = [value] * n
+        if repeated:
+            lengths[at : at + n] = bytes([last]) * n
         at += n
-    return _code(tuple(lengths))
+    if held < 0:
+        raise Broken("the bits end too early")
+    bits.value, bits.held = value, held
+    return _Code(bytes(lengths))
 
 
 # ---------------------------------------------------------------- pictures of symbols
@@ -219,8 +267,12 @@ def _read_pixels(bits: _Reader, width: int, height: int, top: bool) -> np.ndarra
     alphabets = (LITERALS + LENGTH_CODES + cache_size, LITERALS, LITERALS, LITERALS, DISTANCE_CODES)
     codes = [[_read_code(bits, n) for n in alphabets] for _ in range(groups)]
     total = width * height
+    if groups == 1 and None not in (one := [c.single for c in codes[0][:4]]) and one[0] < LITERALS:
+        return np.full(total, one[3] << 24 | one[1] << 16 | one[0] << 8 | one[2], np.uint32)
     if groups == 1 and (flat := _read_flat(bits, codes[0], total)) is not None:
         return flat
+    if groups == 1 and total >= FEW and (found := _read_arrays(bits, codes[0], width, total, cache_bits)) is not None:
+        return found
     out, cache, n = [0] * total, [0] * cache_size, 0
     shift = 32 - cache_bits
     green, red, blue, alpha, distance = codes[0]
@@ -263,7 +315,7 @@ def _read_flat(bits: _Reader, codes: list[_Code], total: int) -> np.ndarray | No
     channels = codes[:4]
     if any(channels[0].lengths[LITERALS:]):
         return None
-    if any(c.single is None and c.lengths[:LITERALS] != [8] * LITERALS for c in channels):
+    if any(c.single is None and c.lengths[:LITERALS] != b"\x08" * LITERALS for c in channels):
         return None
     coded = [i for i, c in enumerate(channels) if c.single is None]
     need, at = total * len(coded), bits.position()
@@ -282,6 +334,133 @@ def _read_flat(bits: _Reader, codes: list[_Code], total: int) -> np.ndarray | No
     return pixels.view("<u4").reshape(total).astype(np.uint32, copy=False)
 
 
+#: Pictures of fewer pixels are read symbol by symbol; longer ones in stretches of so many bits.
+FEW, STRETCH = 64, 1 << 16
+#: What a symbol of the first code is, above its bits in ``_steps``: a cache hit, or a reference.
+HIT, COPY = 64, 128
+_EXTRA = np.array([0, 0, 0, 0, *((s - 2) >> 1 for s in range(4, DISTANCE_CODES))])
+_BASE = np.array([1, 2, 3, 4, *(((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(4, DISTANCE_CODES))])
+
+
+def _roots(source: np.ndarray) -> np.ndarray:
+    """Where the pointers to earlier places end."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
+def _read_arrays(bits: _Reader, codes: list[_Code], width: int, total: int, cache_bits: int) -> np.ndarray | None:
+    """All pixels of one group of codes; null for the rare pictures that only the symbol reader takes.
+
+    What begins at a bit tells where the next symbol begins, whatever the pixels are: that is taken for every bit at
+    once, and the chain from the first bit followed.  Then literals are looked up, and references and cache hits are
+    pointers to earlier pixels: a hit points to the last one of its slot, and slots follow from literals and symbols.
+    """
+    green, red, blue, alpha, distance = codes
+    if green.single is not None and green.single >= LITERALS:
+        return None
+    wide = max(c.top for c in codes)
+    symbols, lengths = zip(*(c.arrays(wide) for c in codes), strict=True)
+    kinds = lengths[0] + np.where(symbols[0] < LITERALS, 0, np.where(symbols[0] < LITERALS + LENGTH_CODES, COPY, HIT))
+    special = bool((green.used >= LITERALS).any())
+    first = bits.position()
+    data = np.frombuffer(bits.data, np.uint8, offset=first >> 3)
+    size, at, done = 8 * len(data), first & 7, 0
+    data = np.append(data, np.zeros(32, np.uint8))
+    chunks = []
+    while done < total:
+        if at >= size and total:
+            raise Broken("the bits end too early")
+        base = at >> 3
+        part = data[base : base + STRETCH // 8 + 16]
+        ends = min(8 * (len(part) - 16), size - 8 * base)
+        turned = _REVERSED[part].astype(np.int64)
+        windows = (((turned[:-2] << 16 | turned[1:-1] << 8 | turned[2:])[:, None] >> (24 - wide - np.arange(8))) & ((1 << wide) - 1)).reshape(-1)
+        step = kinds[windows[:ends]]
+        after = np.arange(ends) + (step & 15)
+        plain = after.copy()
+        for i, code in ((1, red), (2, blue), (3, alpha)):
+            if code.single is None:
+                plain += lengths[i][windows[plain]]
+        if special:
+            jump = np.flatnonzero(step >= HIT)
+            plain[jump] = after[jump]
+            jump = jump[step[jump] >= COPY]
+            to = after[jump] + _EXTRA[symbols[0][windows[jump]] - LITERALS]
+            found = windows[to]
+            plain[jump] = to + lengths[4][found] + _EXTRA[symbols[4][found]]
+        chain, follow, where = [], memoryview(plain), at - 8 * base
+        add = chain.append
+        while where < ends:
+            add(where)
+            where = follow[where]
+        chain = np.array(chain)
+        kind, symbol = step[chain] & (HIT | COPY), symbols[0][windows[chain]]
+        counts, back = np.ones(len(chain), np.int64), np.zeros(len(chain), np.int64)
+        if special and len(copies := np.flatnonzero(kind == COPY)):
+            for out, code, to in ((counts, symbol[copies] - LITERALS, after[chain[copies]]), (back, None, None)):
+                if code is None:
+                    to = last + lengths[4][windows[last]]
+                    code = symbols[4][windows[last]]
+                byte = part[(to >> 3)[:, None] + np.arange(4)].astype(np.int64)
+                extra = ((byte << np.array([0, 8, 16, 24])).sum(axis=1) >> (to & 7)) & ((1 << _EXTRA[code]) - 1)
+                out[copies] = _BASE[code] + extra
+                last = to + _EXTRA[code]
+            near = back[copies]
+            back[copies] = np.where(near <= len(DISTANCES), _near_steps(width)[np.minimum(near, len(DISTANCES)) - 1], near - len(DISTANCES))
+        sums = np.cumsum(counts)
+        here = int(np.searchsorted(sums, total - done)) + 1
+        at = 8 * base + (where if here >= len(chain) else int(chain[here]))
+        chain, kind, symbol = chain[:here], kind[:here], symbol[:here]
+        values = symbol.copy()
+        literal = np.flatnonzero(kind == 0)
+        place, value = after[chain[literal]], values[literal] << 8
+        for i, shift in ((1, 16), (2, 0), (3, 24)):
+            if codes[i].single is not None:
+                value |= codes[i].single << shift
+            else:
+                found = windows[place]
+                value |= symbols[i][found] << shift
+                place = place + lengths[i][found]
+        values[literal] = value
+        done += int(sums[len(chain) - 1])
+        chunks.append((kind, values, counts[:here], back[:here]))
+    if done > total or at > size:
+        raise Broken("a reference outside of the picture" if done > total else "the bits end too early")
+    kind, values, counts, back = chunks[0] if len(chunks) == 1 else map(np.concatenate, zip(*chunks, strict=True))
+    start = np.cumsum(counts) - counts
+    if (back > start).any():
+        raise Broken("a reference outside of the picture")
+    pixels = np.zeros(total, np.int64)
+    pixels[start] = values
+    if len(start) < total or (kind == COPY).any():
+        source = np.arange(total) - np.repeat(back, counts)
+    else:
+        source = np.arange(total)
+    hits = start[kind == HIT]
+    if len(hits):
+        slot = (pixels * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
+        slot[hits] = pixels[hits] - LITERALS - LENGTH_CODES
+        slot = slot[_roots(source)].astype(np.uint16)
+        order, before = np.argsort(slot, kind="stable"), np.full(total, -1)
+        same = slot[order[1:]] == slot[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        source[hits] = before[hits]
+        if (source[hits] < 0).any():  # a slot that nothing has been put into
+            return None
+    bits.at, bits.value, bits.held = (first >> 3) + (at >> 3), 0, 0
+    bits.bits(at & 7)
+    return pixels[_roots(source)].astype(np.uint32)
+
+
+@lru_cache(maxsize=16)
+def _near_steps(width: int) -> np.ndarray:
+    """How far back the short distances are."""
+    return np.array([max(1, x + y * width) for x, y in DISTANCES])
+
+
 # ---------------------------------------------------------------- transforms
 
 
@@ -337,8 +516,8 @@ PREDICTIONS = (
 )
 
 
-#: The mode that predicts a pixel from the one above it.
-FROM_TOP = 2
+#: The modes that predict a pixel from the one before and the one above it.
+FROM_LEFT, FROM_TOP = 1, 2
 
 
 def _predict(out: list[int], n: int, width: int, mode: int) -> int:
@@ -362,6 +541,11 @@ def _unpredict(pixels: np.ndarray, width: int, block: int, modes: np.ndarray) ->
         parts[0, 0, 3:] += np.uint8(255)
         parts[0] = np.cumsum(parts[0], axis=0, dtype=np.uint8)
         return np.cumsum(parts, axis=0, dtype=np.uint8).view("<u4").reshape(-1).astype(np.uint32, copy=False)
+    if set(modes) == {FROM_LEFT}:  # sums along the first column, then along the rows
+        parts = pixels.astype("<u4").view(np.uint8).reshape(-1, width, 4).copy()
+        parts[0, 0, 3:] += np.uint8(255)
+        parts[:, 0] = np.cumsum(parts[:, 0], axis=0, dtype=np.uint8)
+        return np.cumsum(parts, axis=1, dtype=np.uint8).view("<u4").reshape(-1).astype(np.uint32, copy=False)
     out = pixels.tolist()
     for n in range(len(out)):
         y, x = divmod(n, width)
@@ -369,30 +553,40 @@ def _unpredict(pixels: np.ndarray, width: int, block: int, modes: np.ndarray) ->
     return np.array(out, np.uint32)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return (x & 0xFF).astype(np.uint8).view(np.int8).astype(np.int32)
+_SIGNED = np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int32)
 
 
 def _cross(pixels: np.ndarray, width: int, block: int, elements: np.ndarray, sign: int) -> np.ndarray:
     """Add (sign 1) or take away (-1) what green tells of red and blue, and red of blue."""
-    across = -(-width >> block)
-    if (elements == elements[0]).all():
-        element = elements[:1]
-    else:
-        n = np.arange(len(pixels))
-        element = elements[(n // width >> block) * across + (n % width >> block)]
-    green, red, blue = _signed(pixels >> 8), (pixels >> 16 & 0xFF).astype(np.int32), (pixels & 0xFF).astype(np.int32)
-    plain = red
-    red = (red + sign * (_signed(element) * green >> 5)) & 0xFF
-    original = red if sign > 0 else plain
-    blue = (blue + sign * (_signed(element >> 8) * green >> 5) + sign * (_signed(element >> 16) * _signed(original) >> 5)) & 0xFF
-    return (pixels & np.uint32(0xFF00FF00)) | (red.astype(np.uint32) << 16) | blue.astype(np.uint32)
+    out = pixels.astype("<u4")
+    parts = out.view(np.uint8).reshape(-1, 4)
+    blue, green, red = parts[:, 0], parts[:, 1], parts[:, 2]
+    if (elements == elements[0]).all():  # three small tables
+        factors = _SIGNED[[int(elements[0]) >> i & 0xFF for i in (0, 8, 16)]]
+        to_red, to_blue, red_to_blue = (sign * (factors[:, None] * _SIGNED >> 5)).astype(np.uint8)
+        plain = red.copy()
+        red += to_red[green]
+        blue += to_blue[green]
+        blue += red_to_blue[red if sign > 0 else plain]
+        return out.astype(np.uint32, copy=False)
+    across, n = -(-width >> block), np.arange(len(pixels))
+    element = elements[(n // width >> block) * across + (n % width >> block)]
+    factors, plain = [_SIGNED[element >> i & 0xFF] for i in (0, 8, 16)], red.copy()
+    red += (sign * (factors[0] * _SIGNED[green] >> 5)).astype(np.uint8)
+    blue += (sign * (factors[1] * _SIGNED[green] >> 5)).astype(np.uint8)
+    blue += (sign * (factors[2] * _SIGNED[red if sign > 0 else plain] >> 5)).astype(np.uint8)
+    return out.astype(np.uint32, copy=False)
 
 
 def _green(pixels: np.ndarray, sign: int) -> np.ndarray:
-    green = (pixels >> 8 & 0xFF).astype(np.int32)
-    red, blue = ((pixels >> 16 & 0xFF).astype(np.int32) + sign * green) & 0xFF, ((pixels & 0xFF).astype(np.int32) + sign * green) & 0xFF
-    return (pixels & np.uint32(0xFF00FF00)) | (red.astype(np.uint32) << 16) | blue.astype(np.uint32)
+    out = pixels.astype("<u4")
+    parts = out.view(np.uint8).reshape(-1, 4)
+    for i in (0, 2):
+        if sign > 0:
+            parts[:, i] += parts[:, 1]
+        else:
+            parts[:, i] -= parts[:, 1]
+    return out.astype(np.uint32, copy=False)
 
 
 def _palette_bits(size: int) -> int:
@@ -621,6 +815,22 @@ def _head(width: int, height: int, alpha: bool) -> _Writer:
     return bits
 
 
+def _write_palette(bits: _Writer, argb: np.ndarray, colours: np.ndarray) -> np.ndarray:
+    """The transform's colours, and the packed picture of their numbers."""
+    pack = _palette_bits(len(colours))
+    bits.bits(1, 1)
+    bits.bits(PALETTE, 2)
+    bits.bits(len(colours) - 1, 8)
+    parts = colours.astype("<u4").view(np.uint8).reshape(-1, 4)
+    steps = np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
+    _write_pixels(bits, np.ascontiguousarray(steps).view("<u4").reshape(-1).tolist(), len(colours), False)
+    index = np.searchsorted(colours, argb).astype(np.uint32)
+    packed = np.zeros((len(argb), -(-argb.shape[1] >> pack)), np.uint32)
+    for x in range(argb.shape[1]):
+        packed[:, x >> pack] |= index[:, x] << np.uint32((x & ((1 << pack) - 1)) * (8 >> pack))
+    return packed << np.uint32(8) | np.uint32(OPAQUE)
+
+
 def encode(samples: np.ndarray, palette: bool = False, predict: tuple[int, ...] = (), cross: tuple[int, int, int] | None = None,
            green: bool = False, cache_bits: int = 0, references: bool = False, groups: int = 0) -> bytes:
     """A lossless WebP file of height x width x 4 samples, with the chosen parts of the format.
@@ -632,22 +842,12 @@ def encode(samples: np.ndarray, palette: bool = False, predict: tuple[int, ...]
     bits = _head(width, height, bool((samples[:, :, 3] != 255).any()))
     wide = width
     if palette:
-        colours, index = np.unique(argb, return_inverse=True)
+        colours = np.unique(argb)
         if len(colours) > 256:
             raise ValueError("more than 256 colours")
-        pack = _palette_bits(len(colours))
-        bits.bits(1, 1)
-        bits.bits(PALETTE, 2)
-        bits.bits(len(colours) - 1, 8)
-        parts = colours.astype("<u4").view(np.uint8).reshape(-1, 4)
-        steps = np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-        _write_pixels(bits, np.ascontiguousarray(steps).view("<u4").reshape(-1).tolist(), len(colours), False)
-        wide = -(-width >> pack)
-        packed = np.zeros((height, wide), np.uint32)
-        index = index.reshape(height, width).astype(np.uint32)
-        for x in range(width):
-            packed[:, x >> pack] |= index[:, x] << np.uint32((x & ((1 << pack) - 1)) * (8 >> pack))
-        argb = (packed << np.uint32(8) | np.uint32(OPAQUE)).reshape(-1)
+        argb = _write_palette(bits, argb.reshape(height, width), colours)
+        wide = argb.shape[1]
+        argb = argb.reshape(-1)
     blocks = (-(-wide >> 2)) * (-(-height >> 2))
     if predict:
         modes = [predict[i % len(predict)] for i in range(blocks)]
@@ -678,31 +878,233 @@ def encode(samples: np.ndarray, palette: bool = False, predict: tuple[int, ...]
 
 #: Of stored payloads: the cross-colour element (red to blue, green to blue, green to red), and the largest blocks of the format.
 ELEMENT, BLOCKS = 4 << 16 | 8 << 8 | 8, 9
+#: Pictures of up to so many colours get a palette; the cache holds 2 to this power of colours at most.
+FEW_COLOURS, MOST_CACHE = 16, 9
+LONGEST_COPY, FARTHEST = 4096, (1 << 20) - len(DISTANCES)
+#: Bits of the code of code lengths; 16 is not used.
+_META = [4, 5, *[4] * 11, 5, 5, 5, 0, 4, 4]
+_TURNED = np.zeros(1 << 15, np.int64)
+for _bit in range(15):
+    _TURNED |= (np.arange(1 << 15) >> _bit & 1) << (14 - _bit)
+_GAP = 4 * 138
 
+Fields = tuple[np.ndarray, np.ndarray]
 
-@lru_cache(maxsize=1)
-def _stored_head() -> tuple[int, int]:
-    """The bits between the sides and the samples: three transforms, no cache, one group of codes, eight bits to a colour.
 
-    The transforms' own pictures have one value in all blocks, which takes no bits, so that this is the same for all sizes.
+@lru_cache(maxsize=1)
+def _length_fields() -> tuple[Fields, Fields, Fields]:
+    """Values and bits of: the head of a code with its code of code lengths, runs of zeros, and code lengths."""
+    code, head = _canonical(_META), _Writer()
+    head.bits(0, 1)
+    head.bits(15, 4)
+    for s in CODE_LENGTH_ORDER:
+        head.bits(_META[s], 3)
+    head.bits(0, 1)
+    gaps = []
+    for gap in range(_GAP + 138):
+        value = n = 0
+        while gap:
+            run = min(gap, 138)
+            more = [(code[18], run - 11, 7)] if run >= 11 else [(code[17], run - 3, 3)] if run >= 3 else [(code[0], 0, 0)] * run
+            for (prefix, bits), extra, wide in more:
+                value |= (prefix | extra << bits) << n
+                n += bits + wide
+            gap -= run
+        gaps.append((value, n))
+    lengths = [code[i] for i in range(16)]
+    return tuple((np.array([v for v, _ in x], np.uint64), np.array([n for _, n in x], np.int64)) for x in ([(head.value, head.n)], gaps, lengths))
+
+
+def _code_fields(counts: list[np.ndarray]) -> tuple[list[Fields], list[Fields]]:
+    """Complete prefix codes by counts: as they are written, and the codes of all symbols.
+
+    A length follows from a symbol's share; the room that is left goes to the frequent ones; 11 bits at most.
     """
-    bits, flat = _Writer(), [8] * LITERALS
-    for kind, value in ((PREDICTOR, FROM_TOP << 8), (CROSS_COLOUR, ELEMENT)):
+    written, codes, plain = [None] * len(counts), [None] * len(counts), []
+    for i, c in enumerate(counts):
+        used = np.flatnonzero(c)
+        if len(used) > 2 or len(used) and used[-1] >= 256:
+            plain.append((i, used))
+            continue
+        used = used.tolist() or [0]
+        wide = 8 if used[0] > 1 else 1
+        value, n = 1 | (len(used) - 1) << 1 | (wide >> 3) << 2 | used[0] << 3, 3 + wide
+        values, lengths = np.zeros(len(c), np.uint64), np.zeros(len(c), np.int64)
+        if len(used) == 2:
+            value, n = value | used[1] << n, n + 8
+            values[used[1]], lengths[used] = 1, 1
+        written[i], codes[i] = (np.array([value], np.uint64), np.array([n])), (values, lengths)
+    if not plain:
+        return written, codes
+    sizes = np.array([len(used) for _, used in plain])
+    ends = np.cumsum(sizes)
+    starts, owner, used = ends - sizes, np.repeat(np.arange(len(plain)), sizes), np.concatenate([used for _, used in plain])
+    share = np.concatenate([counts[i][used] for i, used in plain])
+    share = np.maximum(share, (np.add.reduceat(share, starts) // 1024 + 1)[owner])
+    part, power = np.frexp(np.add.reduceat(share, starts)[owner] / share)
+    many = np.bincount(16 * owner + np.maximum(power - (part == 0.5), 1), minlength=16 * len(plain)).tolist()
+    for base in range(0, len(many), 16):
+        left = 32768 - sum(many[base + i] << (15 - i) for i in range(1, 16))
+        while left:
+            for i in range(2, 16):
+                if (n := many[base + i]) and (more := min(n, left >> (15 - i))):
+                    many[base + i] = n - more
+                    many[base + i - 1] += more
+                    left -= more << (15 - i)
+    length = np.empty(len(used), np.int64)
+    length[np.argsort((owner << 40) - share, kind="stable")] = np.repeat(np.arange(len(many)) & 15, many)
+    order = np.argsort((16 * owner + length).astype(np.uint16), kind="stable")
+    spans = 32768 >> length[order]
+    code = np.empty(len(used), np.uint64)
+    code[order] = _TURNED[(np.cumsum(spans) - spans) & 32767]  # each complete code ends where the next begins
+    head, gaps, each = _length_fields()
+    for (i, own), low, high in zip(plain, starts.tolist(), ends.tolist(), strict=True):
+        values, lengths, size = np.zeros(len(counts[i]), np.uint64), np.zeros(len(counts[i]), np.int64), len(own)
+        values[own], lengths[own] = code[low:high], length[low:high]
+        gap = np.empty(size + 1, np.int64)
+        gap[0], gap[1:size], gap[size] = own[0], own[1:] - own[:-1] - 1, len(lengths) - 1 - own[-1]
+        some = np.minimum(gap, _GAP)
+        fields = []
+        for k, kind in ((0, np.uint64), (1, np.int64)):
+            rows = np.zeros((size + 1, 3), kind)
+            rows[:, 0], rows[:, 1], rows[:size, 2] = gaps[k][some], gaps[k][gap - some], each[k][lengths[own]]
+            fields += [head[k], rows.reshape(-1)]
+        written[i], codes[i] = (np.concatenate(fields[:2]), np.concatenate(fields[2:])), (values, lengths)
+    return written, codes
+
+
+def _packed(value: np.ndarray, n: np.ndarray) -> bytes:
+    """Fields of up to 63 bits, one after the other."""
+    at = np.cumsum(n) - n
+    some = n > 0
+    value, n, at = value[some], n[some], at[some]
+    word, shift = at >> 6, at & 63
+    out = np.zeros(int(word[-1]) + 2, "<u8")
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out[word[first]] = np.bitwise_or.reduceat(value << shift.astype(np.uint64), first)
+    over = np.flatnonzero(shift + n > 64)
+    out[word[over] + 1] |= value[over] >> (64 - shift[over]).astype(np.uint64)
+    return out.tobytes()[: (int(at[-1] + n[-1]) + 7) >> 3]
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, extra values and extra bits of lengths or distances."""
+    v = values - 1
+    extra = np.maximum(np.frexp(v)[1] - 2, 0)
+    return np.where(v < 4, v, 2 * extra + 2 + (v >> extra & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), np.where(v < 4, 0, extra)
+
+
+@lru_cache(maxsize=16)
+def _near_codes(width: int) -> np.ndarray:
+    """Codes of short distances by how far back they are; 0 for none."""
+    steps = _near_steps(width)
+    out = np.zeros(int(steps.max()) + 1, np.int64)
+    out[steps[::-1]] = np.arange(len(steps), 0, -1)
+    return out
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """The last earlier place with the same key, or -1."""
+    order, out = np.argsort(keys, kind="stable"), np.full(len(keys), -1)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of stretches of three pixels and more that the last ones with the same three begin as well."""
+    none = np.zeros(0, np.int64)
+    if len(pixels) < 4:
+        return none, none, none
+    a, b, c = pixels[:-2], pixels[1:-1], pixels[2:]
+    keys = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B) ^ c * np.uint32(0xC2B2AE35)
+    if len(pixels) < 1 << 13:  # short keys sort faster; others than equal ones drop out below
+        keys = (keys ^ keys >> np.uint32(13)).astype(np.uint16)
+    before, here = _before(keys), np.arange(len(keys))
+    same = (before >= 0) & (a == a[before]) & (b == b[before]) & (c == c[before]) & (here - before <= FARTHEST)
+    back = np.where(same, here - before, 0)
+    if not same.any():
+        return none, none, none
+    start = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]]))
+    stop = np.append(start[1:], len(back))
+    keep = back[start] > 0
+    start, stop = start[keep], stop[keep] + 2
+    many = np.minimum(stop, np.append(start[1:], len(pixels))) - start
+    keep = many >= 3
+    start, many = start[keep], many[keep]
+    pieces = -(-many // LONGEST_COPY)
+    if (pieces > 1).any():
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(start, pieces) + nth * LONGEST_COPY
+        many = np.minimum(np.repeat(many, pieces) - nth * LONGEST_COPY, LONGEST_COPY)
+    return start, many, back[np.minimum(start, len(back) - 1)]
+
+
+def _picture_fields(pixels: np.ndarray, width: int) -> Fields:
+    """A main picture with references, a cache and prefix codes by its own counts."""
+    cache_bits = min(max(len(pixels).bit_length() - 5, 1), MOST_CACHE)
+    slots = ((pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+    last = _before(slots)
+    hit = (last >= 0) & (pixels == pixels[last])
+    start, many, back = _copies(pixels)
+    inside = np.zeros(len(pixels) + 1, np.int8)
+    inside[start] += 1
+    inside[start + many] -= 1
+    token = np.cumsum(inside[:-1], dtype=np.int8) == 0
+    token[start] = True
+    hit[start] = False
+    places = np.flatnonzero(token)
+    is_copy = np.zeros(len(pixels), bool)
+    is_copy[start] = True
+    is_copy, is_hit = is_copy[places], hit[places]
+    literal, hits, copies = np.flatnonzero(~is_copy & ~is_hit), np.flatnonzero(is_hit), np.flatnonzero(is_copy)
+    parts = pixels[places[literal]].astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
+    near = _near_codes(width)
+    code = near[np.minimum(back, len(near) - 1)]
+    far = _prefixes(np.where((back < len(near)) & (code > 0), code, back + len(DISTANCES)))
+    long = _prefixes(many)
+    symbol = np.empty(len(places), np.int64)
+    symbol[literal], symbol[hits], symbol[copies] = parts[:, 1], slots[places[hits]] + np.int64(LITERALS + LENGTH_CODES), long[0] + LITERALS
+    alphabets = (LITERALS + LENGTH_CODES + (1 << cache_bits), LITERALS, LITERALS, LITERALS, DISTANCE_CODES)
+    given = (symbol, parts[:, 2], parts[:, 0], parts[:, 3], far[0])
+    written, codes = _code_fields([np.bincount(x, minlength=size) for x, size in zip(given, alphabets, strict=True)])
+    value, n = codes[0][0][symbol], codes[0][1][symbol]
+    for rows, more, bits in (
+        *((literal, codes[i][0][given[i]], codes[i][1][given[i]]) for i in (1, 2, 3)),
+        (copies, long[1].astype(np.uint64), long[2]), (copies, codes[4][0][far[0]], codes[4][1][far[0]]), (copies, far[1].astype(np.uint64), far[2]),
+    ):
+        value[rows] |= more << n[rows].astype(np.uint64)
+        n[rows] += bits
+    head = (np.array([1 | cache_bits << 1], np.uint64), np.array([6]))  # the cache, and one group of codes
+    values, ns = zip(head, *written, (value, n), strict=True)
+    return np.concatenate(values), np.concatenate(ns)
+
+
+def _fields_of(bits: _Writer) -> Fields:
+    value, n = int.from_bytes(bits.done, "little") | bits.value << 8 * len(bits.done), 8 * len(bits.done) + bits.n
+    at = range(0, n, 32)
+    return np.array([value >> i & 0xFFFFFFFF for i in at], np.uint64), np.array([min(32, n - i) for i in at])
+
+
+@lru_cache(maxsize=1)
+def _stored_transforms() -> Fields:
+    """Predictor, cross-colour and subtract-green: the same for all sizes, as one value in all blocks takes no bits."""
+    bits = _Writer()
+    for kind, value in ((PREDICTOR, FROM_LEFT << 8), (CROSS_COLOUR, ELEMENT)):
         bits.bits(1, 1)
         bits.bits(kind, 2)
         bits.bits(BLOCKS - 2, 3)
         _write_pixels(bits, [value], 1, False)
     bits.bits(1, 1)
     bits.bits(SUBTRACT_GREEN, 2)
-    bits.bits(0, 3)
-    for lengths in (flat + [0] * LENGTH_CODES, flat, flat, [1] + [0] * 255, [1] + [0] * (DISTANCE_CODES - 1)):
-        _write_code(bits, lengths)
-    return int.from_bytes(bits.done, "little") | bits.value << 8 * len(bits.done), 8 * len(bits.done) + bits.n
+    bits.bits(0, 1)
+    return _fields_of(bits)
 
 
 def store(payload: bytes, row: int) -> bytes:
-    """A payload of whole rows as an opaque picture of three samples a pixel: predicted from the row above, less what red
-    and green tell of the others, eight bits to a sample.
+    """A payload of whole rows as an opaque picture of three samples a pixel: a palette where there are few colours,
+    predicted from the pixel before, less what red and green tell of the others; then references, cache hits and
+    literals in prefix codes by the picture's own counts.
 
     Very long payloads get wider rows, so that the height stays within the format.
     """
@@ -713,15 +1115,18 @@ def store(payload: bytes, row: int) -> bytes:
         raise ValueError("a payload beyond what one picture holds")
     parts = np.full((height, width, 4), 255, np.uint8)
     parts[:, :, [2, 1, 0]] = np.frombuffer(payload.ljust(height * row, b"\xff"), np.uint8).reshape(height, width, 3)
+    bits = _head(width, height, False)
+    argb = parts.view("<u4").reshape(height, width)
+    if len(set(argb[0, :64].tolist())) <= FEW_COLOURS and len(colours := np.unique(argb)) <= FEW_COLOURS:
+        parts = _write_palette(bits, argb, colours).astype("<u4").view(np.uint8).reshape(height, -1, 4)
+        width = parts.shape[1]
     less = parts.copy()
-    less[1:] -= parts[:-1]
-    less[0, 1:] -= parts[0, :-1]
+    less[:, 1:] -= parts[:, :-1]
+    less[1:, 0] -= parts[:-1, 0]
     less[0, 0, 3:] -= np.uint8(255)
     argb = _green(_cross(less.view("<u4").reshape(-1).astype(np.uint32, copy=False), width, BLOCKS, np.array([ELEMENT], np.uint32), -1), -1)
-    bits = _head(width, height, False)
-    bits.bits(*_stored_head())
-    bits.samples(_REVERSED[argb.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[:, [1, 2, 0]]].reshape(-1))
-    return _riff(bits.close())
+    fields = _fields_of(bits), _stored_transforms(), _picture_fields(argb, width)
+    return _riff(_packed(*(np.concatenate(x) for x in zip(*fields, strict=True))))
 
 
 # ---------------------------------------------------------------- operators

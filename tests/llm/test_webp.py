@@ -142,3 +142,58 @@ def test_sums_along_columns_are_the_predictor():
     samples = np.random.default_rng(3).integers(0, 256, (9, 13, 4), dtype=np.uint8)
     assert (webp.decode(webp.encode(samples, predict=(2,))) == samples).all()
     assert (webp.decode(webp.encode(samples, predict=(2, 1))) == samples).all()
+
+
+def test_stored_payloads_use_codes_references_cache_and_palette(monkeypatch):
+    """On real rows, read symbol by symbol: what the stored bytes hold, and the same pixels as by arrays."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()[:60]
+    payloads = [raw.ljust(max(576, -(-len(raw) // 576) * 576), b"\xff") for raw in ((t or "").encode() for t in [None, "ab" * 900, "abc" * 40_000, *texts])]
+    stored = [webp.store(p, 576) for p in payloads]
+    arrays = [webp.decode(s) for s in stored]
+    made, kinds, palettes, flat = webp._Code.read, [], [], []
+    read_flat, unpalette = webp._read_flat, webp._unpalette
+
+    def read(self, bits):
+        symbol = made(self, bits)
+        if len(self.lengths) >= 280:
+            kinds[-1].add(0 if symbol < 256 else 1 if symbol < 280 else 2)
+            if symbol < 256 and self.single is None:
+                kinds[-1].add(("bits", self.lengths[symbol]))
+        return symbol
+
+    def spied_flat(bits, codes, total):
+        out = read_flat(bits, codes, total)
+        flat.append(total > 16 and out is not None)
+        return out
+
+    monkeypatch.setattr(webp._Code, "read", read)
+    monkeypatch.setattr(webp, "_read_arrays", lambda *a: None)
+    monkeypatch.setattr(webp, "_read_flat", spied_flat)
+    monkeypatch.setattr(webp, "_unpalette", lambda *a: palettes.append(1) or unpalette(*a))
+    for payload, data, fast in zip(payloads, stored, arrays, strict=True):
+        kinds.append(set())
+        slow = webp.decode(data)
+        assert (slow == fast).all() and slow[:, :, :3].tobytes()[: len(payload)] == payload
+    assert not any(flat) and len(palettes) >= 3
+    assert sum(1 in k for k in kinds) > 0.5 * len(kinds) and sum(2 in k for k in kinds) > 0.7 * len(texts)
+    assert sum(len([x for x in k if isinstance(x, tuple)]) > 2 for k in kinds) > 0.9 * len(texts)
+
+
+def test_arrays_read_parts_together_as_symbols_do(monkeypatch):
+    rnd, arrays, used = random.Random(7), webp._read_arrays, []
+    monkeypatch.setattr(webp, "STRETCH", 1 << 9)
+    monkeypatch.setattr(webp, "_read_arrays", lambda *a: (lambda out: used.append(out is not None) or out)(arrays(*a)))
+    for seed in range(80):
+        given = picture(seed, rnd.randrange(8, 40), rnd.randrange(8, 40), colours=rnd.choice([None, 3, 40]), alpha=rnd.random() < 0.5)
+        data = webp.encode(given, green=rnd.random() < 0.5, cache_bits=rnd.choice([0, 1, 4, 11]), references=rnd.random() < 0.7)
+        assert (webp.decode(data) == given).all()
+    assert sum(used) > 60
+    for seed in range(200):  # bytes of no picture end in an error or in some picture, never in another error
+        raw = bytearray(webp.store(bytes(random.Random(seed).choices(b"abcdef \xff", k=576 * 6)), 576))
+        raw[rnd.randrange(21, len(raw))] ^= 1 << rnd.randrange(8)
+        try:
+            webp.decode(bytes(raw[: rnd.choice([len(raw), len(raw) - 9])]))
+        except webp.Broken:
+            pass
