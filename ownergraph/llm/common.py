@@ -31,15 +31,25 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list[dict]]], sc
 
     ``make`` runs once in each task and returns the row function, so that models and caches are built there.
     """
+
+    def make_list():
+        row = make()
+        return lambda rows: [made for given in rows for made in row(given)]
+
+    return map_lists(df, make_list, schema)
+
+
+def map_lists(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[dict]]], schema: str | StructType) -> DataFrame:
+    """As ``map_rows``, with a function that takes the rows of an Arrow batch together."""
     bounded_batches(df.sparkSession)
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, row = to_arrow_schema(target), make()
+        arrow, rows = to_arrow_schema(target), make()
         for batch in batches:
-            out = [made for given in batch.to_pylist() for made in row(given)]
+            out = rows(batch.to_pylist())
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 

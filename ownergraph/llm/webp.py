@@ -19,12 +19,14 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ownergraph.llm.common import map_rows
+from ownergraph.llm.common import map_lists, map_rows
 from ownergraph.session import table
 
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LITERALS, LENGTH_CODES, DISTANCE_CODES, MAX_SIDE = 256, 24, 40, 1 << 14
 OPAQUE = 0xFF000000
+#: Pictures that are stored and read side by side; sort keys of 16 bits hold a slot and the picture's number.
+TOGETHER = 32
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 DISTANCES = (
@@ -130,22 +132,20 @@ def _canonical(lengths) -> dict[int, tuple[int, int]]:
 
 
 class _Code:
-    """A prefix code: one symbol of no bits, or tables over the next bits."""
+    """A prefix code: one symbol of no bits, or a table over the next bits."""
 
     def __init__(self, lengths: bytes):
-        self.lengths, self._table = lengths, None
-        bits = np.frombuffer(lengths, np.uint8)
-        self.used = np.flatnonzero(bits)
-        self.single = int(self.used[0]) if len(self.used) == 1 else None
-        if not len(self.used):
+        self.lengths, self._table, self.single, self.top = lengths, None, None, 0
+        many = [lengths.count(n) for n in range(16)]
+        symbols = len(lengths) - many[0]
+        if not symbols:
             raise Broken("a prefix code without symbols")
-        self.top = 0
-        if self.single is None:
-            bits = bits[self.used].astype(np.int64)
-            if (32768 >> bits).sum() != 32768:
-                raise Broken("a prefix code that is not complete")
-            order = np.argsort(bits, kind="stable")
-            self.used, self.bits, self.top = self.used[order], bits[order], int(bits.max())
+        if symbols == 1:
+            self.single = len(lengths.rstrip(b"\0")) - 1
+            return
+        if sum([n << (15 - i) for i, n in enumerate(many) if i]) != 1 << 15:
+            raise Broken("a prefix code that is not complete")
+        self.top = max(n for n in range(16) if many[n])
 
     @property
     def table(self) -> list[tuple[int, int]]:
@@ -157,13 +157,6 @@ class _Code:
                     self._table[i] = (symbol, n)
         return self._table
 
-    def arrays(self, wide: int) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols and bits by the next ``wide`` bits, the first bit highest."""
-        if self.single is not None:
-            return np.full(1 << wide, self.single), np.zeros(1 << wide, np.int64)
-        spans = 1 << (wide - self.bits)
-        return np.repeat(self.used, spans), np.repeat(self.bits, spans)
-
     def read(self, bits: _Reader) -> int:
         if self.single is not None:
             return self.single
@@ -251,8 +244,11 @@ def _prefixed(symbol: int, bits: _Reader) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.bits(extra) + 1
 
 
-def _read_pixels(bits: _Reader, width: int, height: int, top: bool) -> np.ndarray:
-    """Width x height ARGB values; only the main picture can have several groups of codes."""
+def _read_pixels(bits: _Reader, width: int, height: int, top: bool, later: list | None = None) -> np.ndarray | None:
+    """Width x height ARGB values; only the main picture can have several groups of codes.
+
+    With ``later``, a picture that can be read as arrays is put there instead.
+    """
     cache_bits = bits.bits(4) if bits.bits(1) else 0
     if cache_bits > 11:
         raise Broken("a colour cache that is too large")
@@ -271,8 +267,12 @@ def _read_pixels(bits: _Reader, width: int, height: int, top: bool) -> np.ndarra
         return np.full(total, one[3] << 24 | one[1] << 16 | one[0] << 8 | one[2], np.uint32)
     if groups == 1 and (flat := _read_flat(bits, codes[0], total)) is not None:
         return flat
-    if groups == 1 and total >= FEW and (found := _read_arrays(bits, codes[0], width, total, cache_bits)) is not None:
-        return found
+    if groups == 1 and total >= FEW and (codes[0][0].single is None or codes[0][0].single < LITERALS):
+        if later is not None:
+            later.append(_Job(bits, codes[0], width, total, cache_bits))
+            return None
+        if (found := _read_arrays(bits, codes[0], width, total, cache_bits)) is not None:
+            return found
     out, cache, n = [0] * total, [0] * cache_size, 0
     shift = 32 - cache_bits
     green, red, blue, alpha, distance = codes[0]
@@ -334,12 +334,24 @@ def _read_flat(bits: _Reader, codes: list[_Code], total: int) -> np.ndarray | No
     return pixels.view("<u4").reshape(total).astype(np.uint32, copy=False)
 
 
-#: Pictures of fewer pixels are read symbol by symbol; longer ones in stretches of so many bits.
-FEW, STRETCH = 64, 1 << 16
-#: What a symbol of the first code is, above its bits in ``_steps``: a cache hit, or a reference.
-HIT, COPY = 64, 128
+#: Pictures of fewer pixels are read symbol by symbol; longer ones in stretches of so many bits, which keeps arrays small.
+FEW, STRETCH = 64, 28_000
+#: Bits 0 to 15 of what begins at a bit are the lengths of four codes there; then: a cache hit, or a reference.
+HIT, COPY = 1 << 16, 1 << 17
 _EXTRA = np.array([0, 0, 0, 0, *((s - 2) >> 1 for s in range(4, DISTANCE_CODES))])
 _BASE = np.array([1, 2, 3, 4, *(((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(4, DISTANCE_CODES))])
+_ASIDE, _ABOVE = np.array(DISTANCES).T
+_COUNT, _TWO = np.arange(STRETCH, dtype=np.int32), np.zeros(2, np.int32)
+
+
+class _Job:
+    """A picture of one group of codes that is read as arrays: where its symbols begin, and how far they are read."""
+
+    def __init__(self, bits: _Reader, codes: list[_Code], width: int, total: int, cache_bits: int):
+        first = bits.position()
+        self.codes, self.width, self.total, self.cache_bits = codes, width, total, cache_bits
+        self.data, self.at, self.done = bits.data[first >> 3 :], first & 7, 0
+        self.bits, self.first = bits, first >> 3
 
 
 def _roots(source: np.ndarray) -> np.ndarray:
@@ -351,114 +363,185 @@ def _roots(source: np.ndarray) -> np.ndarray:
         source = further
 
 
+def _before(keys: np.ndarray) -> np.ndarray:
+    """The last earlier place with the same key (16 or 32 bits), or -1."""
+    if keys.dtype == np.uint16:
+        order = np.argsort(keys, kind="stable")
+    else:  # in two halves, which sort by counting
+        order = np.argsort(keys.astype(np.uint16), kind="stable")
+        order = order[np.argsort((keys >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
+    out, sorted_keys = np.full(len(keys), -1), keys[order]
+    same = sorted_keys[1:] == sorted_keys[:-1]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _tables(codes: list[_Code], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and their bits by the next ``wide`` bits, the first bit highest, for one code after the other."""
+    lengths = np.frombuffer(b"".join([c.lengths for c in codes]), np.uint8)
+    sizes = np.array([len(c.lengths) for c in codes])
+    used = np.flatnonzero(lengths)
+    owner = np.repeat(np.arange(len(codes)), sizes)[used]
+    n = lengths[used].astype(np.int64)
+    order = np.argsort((owner * 16 + n).astype(np.uint16), kind="stable")
+    n[np.array([c.single is not None for c in codes])[owner]] = 0
+    n, symbols = n[order], (used - (np.cumsum(sizes) - sizes)[owner])[order]
+    spans = 1 << (wide - n)
+    return np.repeat(symbols, spans), np.repeat(n, spans)
+
+
 def _read_arrays(bits: _Reader, codes: list[_Code], width: int, total: int, cache_bits: int) -> np.ndarray | None:
-    """All pixels of one group of codes; null for the rare pictures that only the symbol reader takes.
+    """All pixels of one group of codes; null for the rare pictures that only the symbol reader takes."""
+    return _read_all([_Job(bits, codes, width, total, cache_bits)])[0]
+
+
+def _read_all(jobs: list[_Job]) -> list[np.ndarray | None]:
+    """All pixels of up to 32 pictures, side by side.
 
     What begins at a bit tells where the next symbol begins, whatever the pixels are: that is taken for every bit at
     once, and the chain from the first bit followed.  Then literals are looked up, and references and cache hits are
     pointers to earlier pixels: a hit points to the last one of its slot, and slots follow from literals and symbols.
     """
-    green, red, blue, alpha, distance = codes
-    if green.single is not None and green.single >= LITERALS:
-        return None
-    wide = max(c.top for c in codes)
-    symbols, lengths = zip(*(c.arrays(wide) for c in codes), strict=True)
-    kinds = lengths[0] + np.where(symbols[0] < LITERALS, 0, np.where(symbols[0] < LITERALS + LENGTH_CODES, COPY, HIT))
-    special = bool((green.used >= LITERALS).any())
-    first = bits.position()
-    data = np.frombuffer(bits.data, np.uint8, offset=first >> 3)
-    size, at, done = 8 * len(data), first & 7, 0
-    data = np.append(data, np.zeros(32, np.uint8))
-    chunks = []
-    while done < total:
-        if at >= size and total:
-            raise Broken("the bits end too early")
-        base = at >> 3
-        part = data[base : base + STRETCH // 8 + 16]
-        ends = min(8 * (len(part) - 16), size - 8 * base)
-        turned = _REVERSED[part].astype(np.int64)
-        windows = (((turned[:-2] << 16 | turned[1:-1] << 8 | turned[2:])[:, None] >> (24 - wide - np.arange(8))) & ((1 << wide) - 1)).reshape(-1)
-        step = kinds[windows[:ends]]
-        after = np.arange(ends) + (step & 15)
-        plain = after.copy()
-        for i, code in ((1, red), (2, blue), (3, alpha)):
-            if code.single is None:
-                plain += lengths[i][windows[plain]]
-        if special:
-            jump = np.flatnonzero(step >= HIT)
-            plain[jump] = after[jump]
-            jump = jump[step[jump] >= COPY]
-            to = after[jump] + _EXTRA[symbols[0][windows[jump]] - LITERALS]
-            found = windows[to]
-            plain[jump] = to + lengths[4][found] + _EXTRA[symbols[4][found]]
-        chain, follow, where = [], memoryview(plain), at - 8 * base
-        add = chain.append
-        while where < ends:
-            add(where)
-            where = follow[where]
-        chain = np.array(chain)
-        kind, symbol = step[chain] & (HIT | COPY), symbols[0][windows[chain]]
+    wide = max(c.top for job in jobs for c in job.codes)
+    tables = [_tables([job.codes[i] for job in jobs], wide) for i in range(5)]
+    greens, distances = tables[0], tables[4]
+    kinds = sum(n << 4 * i for i, (_, n) in enumerate(tables[:4])).astype(np.int32)
+    kinds[greens[0] >= LITERALS] |= COPY
+    kinds[greens[0] >= LITERALS + LENGTH_CODES] ^= HIT | COPY
+    coded = [i for i in (1, 2, 3) if any(job.codes[i].single is None for job in jobs)]
+    shifts, four, bytewise = (24 - wide - np.arange(8)).astype(np.int32), np.int32(15), np.array([0, 8, 16, 24])
+    totals, widths = np.array([job.total for job in jobs]), np.array([job.width for job in jobs])
+    pending, chunks = list(range(len(jobs))), []
+    while pending:
+        parts, size, chain, lasts, reached = [], 0, [], [], []
+        for j in pending:
+            job = jobs[j]
+            base = job.at >> 3
+            if base >= len(job.data):
+                raise Broken("the bits end too early")
+            raw = job.data[base : base + STRETCH // 8]
+            end = 8 * len(raw)
+            raw += job.data[base + len(raw) : base + len(raw) + 16].ljust(16, b"\0")
+            turned = _REVERSED[np.frombuffer(raw, np.uint8)].astype(np.int32)
+            turned = turned[:-2] << 16 | turned[1:-1] << 8 | turned[2:]
+            windows = turned[:, None] >> shifts
+            windows &= np.int32((1 << wide) - 1)
+            windows = windows.reshape(-1)
+            kind = kinds[j << wide : (j + 1) << wide].take(windows, mode="clip")
+            plain = _COUNT[:end] + (kind[:end] & four) if end <= len(_COUNT) else np.arange(end, dtype=np.int32) + (kind[:end] & four)
+            special = np.flatnonzero(kind[:end] >= HIT)
+            after = plain[special]
+            for i in coded:
+                n = kind.take(plain, mode="clip")
+                n >>= np.int32(4 * i)
+                n &= four
+                plain += n
+            if len(special):
+                plain[special] = after
+                copies = np.flatnonzero(kind[special] >= COPY)
+                to = after[copies]
+                special = special[copies]
+                to = to + _EXTRA[greens[0][(j << wide) + windows[special]] - LITERALS]
+                found = (j << wide) + windows[to]
+                plain[special] = to + distances[1][found] + _EXTRA[distances[0][found]]
+            where, follow, own = job.at & 7, memoryview(plain), []
+            add = own.append
+            while where < end:
+                add(where)
+                where = follow[where]
+            chain.append(np.fromiter(own, np.int64, len(own)) + 8 * size)
+            lasts.append(len(own))
+            reached.append(where)
+            parts.append((raw, turned, plain))
+            size += len(raw)
+        data = np.frombuffer(b"".join([x[0] for x in parts]), np.uint8)
+        triples = np.concatenate([x for _, t, _ in parts for x in (t, _TWO)])
+
+        def window(places, of):
+            return (triples[places >> 3] >> (24 - wide - (places & 7)) & ((1 << wide) - 1)) + (of << wide)
+
+        chain, owner, lasts = np.concatenate(chain), np.array(pending), np.cumsum(lasts).tolist()
+        many = np.diff(lasts, prepend=0)
+        of = np.repeat(owner, many)
+        found = window(chain, of)
+        symbol, after = greens[0][found], chain + greens[1][found]
+        literal = np.flatnonzero(symbol < LITERALS)
+        copies = np.flatnonzero((symbol >= LITERALS) & (symbol < LITERALS + LENGTH_CODES))
+        kind = np.where(symbol < LITERALS, 0, HIT)
+        kind[copies] = COPY
         counts, back = np.ones(len(chain), np.int64), np.zeros(len(chain), np.int64)
-        if special and len(copies := np.flatnonzero(kind == COPY)):
-            for out, code, to in ((counts, symbol[copies] - LITERALS, after[chain[copies]]), (back, None, None)):
-                if code is None:
-                    to = last + lengths[4][windows[last]]
-                    code = symbols[4][windows[last]]
-                byte = part[(to >> 3)[:, None] + np.arange(4)].astype(np.int64)
-                extra = ((byte << np.array([0, 8, 16, 24])).sum(axis=1) >> (to & 7)) & ((1 << _EXTRA[code]) - 1)
-                out[copies] = _BASE[code] + extra
-                last = to + _EXTRA[code]
+        if len(copies):
+            to, code = after[copies], symbol[copies] - LITERALS
+            for out in (counts, back):
+                if out is back:
+                    found = window(to, of[copies])
+                    code, to = distances[0][found], to + distances[1][found]
+                extra = (data[(to >> 3)[:, None] + np.arange(4)].astype(np.int64) << bytewise).sum(axis=1) >> (to & 7)
+                out[copies] = _BASE[code] + (extra & ((1 << _EXTRA[code]) - 1))
+                to = to + _EXTRA[code]
             near = back[copies]
-            back[copies] = np.where(near <= len(DISTANCES), _near_steps(width)[np.minimum(near, len(DISTANCES)) - 1], near - len(DISTANCES))
-        sums = np.cumsum(counts)
-        here = int(np.searchsorted(sums, total - done)) + 1
-        at = 8 * base + (where if here >= len(chain) else int(chain[here]))
-        chain, kind, symbol = chain[:here], kind[:here], symbol[:here]
-        values = symbol.copy()
-        literal = np.flatnonzero(kind == 0)
-        place, value = after[chain[literal]], values[literal] << 8
+            short = np.minimum(near, len(DISTANCES)) - 1
+            back[copies] = np.where(near <= len(DISTANCES), np.maximum(1, _ASIDE[short] + _ABOVE[short] * widths[of[copies]]), near - len(DISTANCES))
+        values, place, value = symbol, after[literal], symbol[literal] << 8
         for i, shift in ((1, 16), (2, 0), (3, 24)):
-            if codes[i].single is not None:
-                value |= codes[i].single << shift
+            if i in coded or len({job.codes[i].single for job in jobs}) > 1:
+                found = window(place, of[literal])
+                value |= tables[i][0][found] << shift
+                place += tables[i][1][found]
             else:
-                found = windows[place]
-                value |= symbols[i][found] << shift
-                place = place + lengths[i][found]
+                value |= jobs[0].codes[i].single << shift
         values[literal] = value
-        done += int(sums[len(chain) - 1])
-        chunks.append((kind, values, counts[:here], back[:here]))
-    if done > total or at > size:
-        raise Broken("a reference outside of the picture" if done > total else "the bits end too early")
-    kind, values, counts, back = chunks[0] if len(chunks) == 1 else map(np.concatenate, zip(*chunks, strict=True))
+        sums = np.cumsum(counts)
+        upto = np.concatenate([[0], sums])
+        begun = sums - counts - np.repeat(upto[np.array(lasts) - many] - np.array([jobs[j].done for j in pending]), many)
+        keep, still = begun < totals[of], []
+        for k, j in enumerate(pending):
+            job, low, high = jobs[j], lasts[k] - int(many[k]), lasts[k]
+            passed, begin = job.done + int(upto[high] - upto[low]), 8 * (job.at >> 3)
+            if passed < job.total:
+                job.done, job.at = passed, begin + reached[k]
+                still.append(j)
+                continue
+            last = low + int(keep[low:high].sum()) - 1
+            if begun[last] + counts[last] > job.total:
+                raise Broken("a reference outside of the picture")
+            offset = 8 * sum([len(x[0]) for x in parts[:k]])
+            job.at = begin + int(parts[k][2][chain[last] - offset])
+            if job.at > 8 * len(job.data):
+                raise Broken("the bits end too early")
+        pending = still
+        chunks.append((of[keep], kind[keep], values[keep], counts[keep], back[keep]))
+    if len(chunks) == 1:
+        of, kind, values, counts, back = chunks[0]
+    else:
+        of, kind, values, counts, back = map(np.concatenate, zip(*chunks, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, kind, values, counts, back = of[order], kind[order], values[order], counts[order], back[order]
+    stops = np.cumsum(totals)
     start = np.cumsum(counts) - counts
-    if (back > start).any():
+    if (back > start - (stops - totals)[of]).any():
         raise Broken("a reference outside of the picture")
-    pixels = np.zeros(total, np.int64)
+    pixels, source, unknown = np.zeros(int(stops[-1]), np.int64), np.arange(int(stops[-1])), set()
     pixels[start] = values
-    if len(start) < total or (kind == COPY).any():
-        source = np.arange(total) - np.repeat(back, counts)
-    else:
-        source = np.arange(total)
-    hits = start[kind == HIT]
+    source -= np.repeat(back, counts)
+    hits = np.flatnonzero(kind == HIT)
     if len(hits):
-        slot = (pixels * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
-        slot[hits] = pixels[hits] - LITERALS - LENGTH_CODES
-        slot = slot[_roots(source)].astype(np.uint16)
-        order, before = np.argsort(slot, kind="stable"), np.full(total, -1)
-        same = slot[order[1:]] == slot[order[:-1]]
-        before[order[1:][same]] = order[:-1][same]
-        source[hits] = before[hits]
-        if (source[hits] < 0).any():  # a slot that nothing has been put into
-            return None
-    bits.at, bits.value, bits.held = (first >> 3) + (at >> 3), 0, 0
-    bits.bits(at & 7)
-    return pixels[_roots(source)].astype(np.uint32)
-
-
-@lru_cache(maxsize=16)
-def _near_steps(width: int) -> np.ndarray:
-    """How far back the short distances are."""
-    return np.array([max(1, x + y * width) for x, y in DISTANCES])
+        slot = np.zeros(len(pixels), np.int64)
+        slot[start] = (values * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - np.array([job.cache_bits for job in jobs])[of])
+        slot[start[hits]] = values[hits] - LITERALS - LENGTH_CODES
+        slot[start] += of << 11
+        found = start[hits]
+        before = _before(slot[_roots(source)].astype(np.uint16))[found]
+        if (before < 0).any():  # a slot that nothing has been put into
+            unknown = set(of[hits[before < 0]].tolist())
+        source[found] = np.where(before < 0, found, before)
+    pixels = pixels[_roots(source)].astype(np.uint32)
+    out = [None if j in unknown else x for j, x in enumerate(np.split(pixels, stops[:-1]))]
+    for job, found in zip(jobs, out, strict=True):
+        if found is not None:
+            job.bits.at, job.bits.value, job.bits.held = job.first + (job.at >> 3), 0, 0
+            job.bits.bits(job.at & 7)
+    return out
 
 
 # ---------------------------------------------------------------- transforms
@@ -609,6 +692,29 @@ def _unpalette(pixels: np.ndarray, width: int, height: int, colours: np.ndarray)
 
 def decode(data: bytes) -> np.ndarray:
     """Height x width x 4 samples (red, green, blue, alpha) of a lossless WebP file."""
+    bits, coded, height, undo, has_alpha = _opened(data)
+    return _undone(_read_pixels(bits, coded, height, True), height, undo, has_alpha)
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """The samples of files, up to 32 of whose pictures are read side by side; one broken file is an error for all."""
+    if len(files) > TOGETHER:
+        return decode_all(files[:TOGETHER]) + decode_all(files[TOGETHER:])
+    opened, jobs, pixels = [_opened(data) for data in files], [], []
+    for bits, coded, height, _, _ in opened:
+        before = len(jobs)
+        found = _read_pixels(bits, coded, height, True, jobs)
+        pixels.append(before if len(jobs) > before else found)
+    read = _read_all(jobs) if jobs else []
+    out = []
+    for data, found, (_, _, height, undo, has_alpha) in zip(files, pixels, opened, strict=True):
+        found = read[found] if isinstance(found, int) else found
+        out.append(decode(data) if found is None else _undone(found, height, undo, has_alpha))
+    return out
+
+
+def _opened(data: bytes) -> tuple[_Reader, int, int, list, int]:
+    """Where the main picture begins, its sides, the transforms to undo, and whether alpha counts."""
     if len(data) < 21 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise Broken("no WebP file")
     at, body = 12, None
@@ -642,7 +748,10 @@ def decode(data: bytes) -> np.ndarray:
             coded = -(-coded >> _palette_bits(size))
         else:
             undo.append((kind, coded, 0, None))
-    pixels = _read_pixels(bits, coded, height, True)
+    return bits, coded, height, undo, has_alpha
+
+
+def _undone(pixels: np.ndarray, height: int, undo: list, has_alpha: int) -> np.ndarray:
     for kind, wide, block, side in reversed(undo):
         if kind == PREDICTOR:
             pixels = _unpredict(pixels, wide, block, side)
@@ -652,7 +761,7 @@ def decode(data: bytes) -> np.ndarray:
             pixels = _unpalette(pixels, wide, height, side)
         else:
             pixels = _green(pixels, 1)
-    out = pixels.astype("<u4").view(np.uint8).reshape(height, width, 4)[:, :, [2, 1, 0, 3]]
+    out = pixels.astype("<u4").view(np.uint8).reshape(height, -1, 4)[:, :, [2, 1, 0, 3]]
     if not has_alpha:
         out[:, :, 3] = 255
     return out
@@ -915,76 +1024,95 @@ def _length_fields() -> tuple[Fields, Fields, Fields]:
     return tuple((np.array([v for v, _ in x], np.uint64), np.array([n for _, n in x], np.int64)) for x in ([(head.value, head.n)], gaps, lengths))
 
 
-def _code_fields(counts: list[np.ndarray]) -> tuple[list[Fields], list[Fields]]:
-    """Complete prefix codes by counts: as they are written, and the codes of all symbols.
+def _code_fields(counts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Complete prefix codes of the alphabets that begin at ``base`` (and end with the last one), by counts: fields as
+    they are written, where each code's fields begin, and the codes of all symbols with their bits.
 
     A length follows from a symbol's share; the room that is left goes to the frequent ones; 11 bits at most.
     """
-    written, codes, plain = [None] * len(counts), [None] * len(counts), []
-    for i, c in enumerate(counts):
-        used = np.flatnonzero(c)
-        if len(used) > 2 or len(used) and used[-1] >= 256:
-            plain.append((i, used))
-            continue
-        used = used.tolist() or [0]
-        wide = 8 if used[0] > 1 else 1
-        value, n = 1 | (len(used) - 1) << 1 | (wide >> 3) << 2 | used[0] << 3, 3 + wide
-        values, lengths = np.zeros(len(c), np.uint64), np.zeros(len(c), np.int64)
-        if len(used) == 2:
-            value, n = value | used[1] << n, n + 8
-            values[used[1]], lengths[used] = 1, 1
-        written[i], codes[i] = (np.array([value], np.uint64), np.array([n])), (values, lengths)
-    if not plain:
-        return written, codes
-    sizes = np.array([len(used) for _, used in plain])
-    ends = np.cumsum(sizes)
-    starts, owner, used = ends - sizes, np.repeat(np.arange(len(plain)), sizes), np.concatenate([used for _, used in plain])
-    share = np.concatenate([counts[i][used] for i, used in plain])
-    share = np.maximum(share, (np.add.reduceat(share, starts) // 1024 + 1)[owner])
-    part, power = np.frexp(np.add.reduceat(share, starts)[owner] / share)
-    many = np.bincount(16 * owner + np.maximum(power - (part == 0.5), 1), minlength=16 * len(plain)).tolist()
-    for base in range(0, len(many), 16):
-        left = 32768 - sum(many[base + i] << (15 - i) for i in range(1, 16))
+    many, ends = len(base) - 1, base[1:]
+    values, lengths = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    owner = np.searchsorted(base, used, side="right") - 1
+    sizes = np.bincount(owner, minlength=many)
+    last = np.cumsum(sizes)
+    first = last - sizes
+    low = used - base[owner]  # within its alphabet
+    plain = (sizes > 2) | ((sizes > 0) & (low[last - 1] >= 256))
+    starts = np.concatenate([[0], np.cumsum(np.where(plain, 3 + 3 * sizes, 1))])
+    value, n = np.zeros(int(starts[-1]), np.uint64), np.zeros(int(starts[-1]), np.int64)
+    for i in np.flatnonzero(~plain).tolist():
+        own = low[first[i] : last[i]].tolist() or [0]
+        wide = 8 if own[0] > 1 else 1
+        written, bits = 1 | (len(own) - 1) << 1 | (wide >> 3) << 2 | own[0] << 3, 3 + wide
+        if len(own) == 2:
+            written, bits = written | own[1] << bits, bits + 8
+            values[base[i] + own[1]] = 1
+            lengths[base[i] + own[0]] = lengths[base[i] + own[1]] = 1
+        value[starts[i]], n[starts[i]] = written, bits
+    some = np.flatnonzero(plain)
+    if not len(some):
+        return value, n, starts, values, lengths
+    mine = plain[owner]
+    used, owner, low = used[mine], owner[mine], low[mine]
+    number = (np.cumsum(plain) - 1)[owner]  # of the code among the plain ones
+    sizes = sizes[some]
+    last = np.cumsum(sizes)
+    first = last - sizes
+    share = counts[used]
+    share = np.maximum(share, (np.add.reduceat(share, first) // 1024 + 1)[number])
+    part, power = np.frexp(np.add.reduceat(share, first)[number] / share)
+    hist = np.bincount(16 * number + np.maximum(power - (part == 0.5), 1), minlength=16 * len(some)).tolist()
+    for at in range(0, len(hist), 16):
+        left = 32768 - sum([hist[at + i] << (15 - i) for i in range(1, 14)])
         while left:
-            for i in range(2, 16):
-                if (n := many[base + i]) and (more := min(n, left >> (15 - i))):
-                    many[base + i] = n - more
-                    many[base + i - 1] += more
+            for i in range(2, 14):
+                if (n_ := hist[at + i]) and (more := min(n_, left >> (15 - i))):
+                    hist[at + i] = n_ - more
+                    hist[at + i - 1] += more
                     left -= more << (15 - i)
     length = np.empty(len(used), np.int64)
-    length[np.argsort((owner << 40) - share, kind="stable")] = np.repeat(np.arange(len(many)) & 15, many)
-    order = np.argsort((16 * owner + length).astype(np.uint16), kind="stable")
+    length[np.argsort((number << 40) - share, kind="stable")] = np.repeat(np.arange(len(hist)) & 15, hist)
+    order = np.argsort((16 * number + length).astype(np.uint16), kind="stable")
     spans = 32768 >> length[order]
-    code = np.empty(len(used), np.uint64)
-    code[order] = _TURNED[(np.cumsum(spans) - spans) & 32767]  # each complete code ends where the next begins
+    values[used[order]] = _TURNED[(np.cumsum(spans) - spans) & 32767]  # each complete code ends where the next begins
+    lengths[used] = length
     head, gaps, each = _length_fields()
-    for (i, own), low, high in zip(plain, starts.tolist(), ends.tolist(), strict=True):
-        values, lengths, size = np.zeros(len(counts[i]), np.uint64), np.zeros(len(counts[i]), np.int64), len(own)
-        values[own], lengths[own] = code[low:high], length[low:high]
-        gap = np.empty(size + 1, np.int64)
-        gap[0], gap[1:size], gap[size] = own[0], own[1:] - own[:-1] - 1, len(lengths) - 1 - own[-1]
-        some = np.minimum(gap, _GAP)
-        fields = []
-        for k, kind in ((0, np.uint64), (1, np.int64)):
-            rows = np.zeros((size + 1, 3), kind)
-            rows[:, 0], rows[:, 1], rows[:size, 2] = gaps[k][some], gaps[k][gap - some], each[k][lengths[own]]
-            fields += [head[k], rows.reshape(-1)]
-        written[i], codes[i] = (np.concatenate(fields[:2]), np.concatenate(fields[2:])), (values, lengths)
-    return written, codes
-
-
-def _packed(value: np.ndarray, n: np.ndarray) -> bytes:
-    """Fields of up to 63 bits, one after the other."""
-    at = np.cumsum(n) - n
+    place = starts[owner] + 1 + 3 * (np.arange(len(used)) - first[number])
+    gap = low.copy()
+    gap[1:] -= low[:-1] + 1
+    gap[first] = low[first]
+    place = np.concatenate([place, starts[some] + 1 + 3 * sizes])
+    gap = np.concatenate([gap, ends[some] - 1 - used[last - 1]])
+    long = np.minimum(gap, _GAP)
+    for out, k in ((value, 0), (n, 1)):
+        out[starts[some]] = head[k][0]
+        out[place] = gaps[k][long]
+        out[place + 1] = gaps[k][gap - long]
+        out[place[: len(used)] + 2] = each[k][length]
+    return value, n, starts, values, lengths
+
+
+def _packed(fields: list[list[Fields]]) -> list[bytes]:
+    """Fields of up to 63 bits, one after the other, for each picture."""
+    value, n = (np.concatenate([f[k] for picture in fields for f in picture]) for k in (0, 1))
+    many = [sum([len(f[1]) for f in picture]) for picture in fields]
+    end = np.cumsum(n)
+    stop = end[np.cumsum(many) - 1]
+    size = np.diff(stop, prepend=0)
+    words = (size >> 6) + 1
+    begin = np.cumsum(words) - words
+    at = end - n + np.repeat(64 * begin - (stop - size), many)
     some = n > 0
     value, n, at = value[some], n[some], at[some]
     word, shift = at >> 6, at & 63
-    out = np.zeros(int(word[-1]) + 2, "<u8")
+    out = np.zeros(int(words.sum()) + 1, "<u8")
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     out[word[first]] = np.bitwise_or.reduceat(value << shift.astype(np.uint64), first)
     over = np.flatnonzero(shift + n > 64)
     out[word[over] + 1] |= value[over] >> (64 - shift[over]).astype(np.uint64)
-    return out.tobytes()[: (int(at[-1] + n[-1]) + 7) >> 3]
+    data = out.tobytes()
+    return [data[8 * b : 8 * b + (s + 7 >> 3)] for b, s in zip(begin.tolist(), size.tolist(), strict=True)]
 
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -997,87 +1125,96 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @lru_cache(maxsize=16)
 def _near_codes(width: int) -> np.ndarray:
     """Codes of short distances by how far back they are; 0 for none."""
-    steps = _near_steps(width)
-    out = np.zeros(int(steps.max()) + 1, np.int64)
+    steps = np.maximum(1, _ASIDE + _ABOVE * width)
+    out = np.zeros(8 * width + 9, np.int64)
     out[steps[::-1]] = np.arange(len(steps), 0, -1)
     return out
 
 
-def _before(keys: np.ndarray) -> np.ndarray:
-    """The last earlier place with the same key, or -1."""
-    order, out = np.argsort(keys, kind="stable"), np.full(len(keys), -1)
-    same = keys[order[1:]] == keys[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
-def _copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _copies(pixels: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and distance of stretches of three pixels and more that the last ones with the same three begin as well."""
     none = np.zeros(0, np.int64)
     if len(pixels) < 4:
         return none, none, none
     a, b, c = pixels[:-2], pixels[1:-1], pixels[2:]
     keys = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B) ^ c * np.uint32(0xC2B2AE35)
-    if len(pixels) < 1 << 13:  # short keys sort faster; others than equal ones drop out below
-        keys = (keys ^ keys >> np.uint32(13)).astype(np.uint16)
+    keys ^= (keys >> np.uint32(15)) ^ owner[:-2].astype(np.uint32) * np.uint32(0x27D4EB2F)
     before, here = _before(keys), np.arange(len(keys))
-    same = (before >= 0) & (a == a[before]) & (b == b[before]) & (c == c[before]) & (here - before <= FARTHEST)
+    same = (before >= 0) & (a == a[before]) & (b == b[before]) & (c == c[before])
+    same &= (here - before <= FARTHEST) & (owner[before] == owner[2:])
     back = np.where(same, here - before, 0)
-    if not same.any():
-        return none, none, none
     start = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]]))
     stop = np.append(start[1:], len(back))
     keep = back[start] > 0
     start, stop = start[keep], stop[keep] + 2
+    if not len(start):
+        return none, none, none
     many = np.minimum(stop, np.append(start[1:], len(pixels))) - start
     keep = many >= 3
     start, many = start[keep], many[keep]
+    back = back[start]
     pieces = -(-many // LONGEST_COPY)
     if (pieces > 1).any():
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = np.repeat(start, pieces) + nth * LONGEST_COPY
+        start, back = np.repeat(start, pieces) + nth * LONGEST_COPY, np.repeat(back, pieces)
         many = np.minimum(np.repeat(many, pieces) - nth * LONGEST_COPY, LONGEST_COPY)
-    return start, many, back[np.minimum(start, len(back) - 1)]
+    return start, many, back
 
 
-def _picture_fields(pixels: np.ndarray, width: int) -> Fields:
-    """A main picture with references, a cache and prefix codes by its own counts."""
-    cache_bits = min(max(len(pixels).bit_length() - 5, 1), MOST_CACHE)
-    slots = ((pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
-    last = _before(slots)
+def _picture_fields(pictures: list[np.ndarray], widths: list[int]) -> list[list[Fields]]:
+    """Main pictures with references, a cache and prefix codes by their own counts."""
+    sizes = np.array([len(p) for p in pictures])
+    cache = [min(max(len(p).bit_length() - 5, 1), MOST_CACHE) for p in pictures]
+    pixels, owner = np.concatenate(pictures), np.repeat(np.arange(len(pictures)), sizes)
+    slots = (pixels * np.uint32(CACHE_FACTOR)) >> np.array([32 - c for c in cache], np.uint32)[owner]
+    last = _before((slots + (owner << MOST_CACHE)).astype(np.uint16))
     hit = (last >= 0) & (pixels == pixels[last])
-    start, many, back = _copies(pixels)
+    start, many, back = _copies(pixels, owner)
     inside = np.zeros(len(pixels) + 1, np.int8)
     inside[start] += 1
     inside[start + many] -= 1
     token = np.cumsum(inside[:-1], dtype=np.int8) == 0
     token[start] = True
     hit[start] = False
-    places = np.flatnonzero(token)
     is_copy = np.zeros(len(pixels), bool)
     is_copy[start] = True
-    is_copy, is_hit = is_copy[places], hit[places]
-    literal, hits, copies = np.flatnonzero(~is_copy & ~is_hit), np.flatnonzero(is_hit), np.flatnonzero(is_copy)
+    places = np.flatnonzero(token)
+    is_copy, is_hit, of = is_copy[places], hit[places], 5 * owner[places]
+    literal, hits, copies = np.flatnonzero(~(is_copy | is_hit)), np.flatnonzero(is_hit), np.flatnonzero(is_copy)
     parts = pixels[places[literal]].astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
-    near = _near_codes(width)
-    code = near[np.minimum(back, len(near) - 1)]
-    far = _prefixes(np.where((back < len(near)) & (code > 0), code, back + len(DISTANCES)))
-    long = _prefixes(many)
+    distance = back + len(DISTANCES)
+    for width in set(widths):
+        near = _near_codes(width)
+        code = near[np.minimum(back, len(near) - 1)]
+        distance = np.where((back < len(near)) & (code > 0) & (np.array(widths)[owner[start]] == width), code, distance)
+    far, long = _prefixes(distance), _prefixes(many)
     symbol = np.empty(len(places), np.int64)
     symbol[literal], symbol[hits], symbol[copies] = parts[:, 1], slots[places[hits]] + np.int64(LITERALS + LENGTH_CODES), long[0] + LITERALS
-    alphabets = (LITERALS + LENGTH_CODES + (1 << cache_bits), LITERALS, LITERALS, LITERALS, DISTANCE_CODES)
-    given = (symbol, parts[:, 2], parts[:, 0], parts[:, 3], far[0])
-    written, codes = _code_fields([np.bincount(x, minlength=size) for x, size in zip(given, alphabets, strict=True)])
-    value, n = codes[0][0][symbol], codes[0][1][symbol]
-    for rows, more, bits in (
-        *((literal, codes[i][0][given[i]], codes[i][1][given[i]]) for i in (1, 2, 3)),
-        (copies, long[1].astype(np.uint64), long[2]), (copies, codes[4][0][far[0]], codes[4][1][far[0]]), (copies, far[1].astype(np.uint64), far[2]),
+    alphabets = [n for c in cache for n in (LITERALS + LENGTH_CODES + (1 << c), LITERALS, LITERALS, LITERALS, DISTANCE_CODES)]
+    base = np.concatenate([[0], np.cumsum(alphabets)])
+    symbol += base[of]
+    given = [base[of[literal] + i] + parts[:, k] for i, k in ((1, 2), (2, 0), (3, 3))]
+    far_symbol = base[of[copies] + 4] + far[0]
+    counts = np.bincount(np.concatenate([symbol, *given, far_symbol]), minlength=int(base[-1]))
+    written, bits, starts, codes, lengths = _code_fields(counts, base)
+    value, n = codes[symbol], lengths[symbol]
+    for rows, items in (
+        (literal, [(codes[s], lengths[s]) for s in given]),
+        (copies, [(long[1].astype(np.uint64), long[2]), (codes[far_symbol], lengths[far_symbol]), (far[1].astype(np.uint64), far[2])]),
     ):
-        value[rows] |= more << n[rows].astype(np.uint64)
-        n[rows] += bits
-    head = (np.array([1 | cache_bits << 1], np.uint64), np.array([6]))  # the cache, and one group of codes
-    values, ns = zip(head, *written, (value, n), strict=True)
-    return np.concatenate(values), np.concatenate(ns)
+        values, wide = value[rows], n[rows]
+        for more, extra in items:
+            values |= more << wide.astype(np.uint64)
+            wide += extra
+        value[rows], n[rows] = values, wide
+    stops = np.searchsorted(places, np.cumsum(sizes)).tolist()
+    out, low = [], 0
+    for j, stop in enumerate(stops):
+        head = np.array([1 | cache[j] << 1], np.uint64), np.array([6])  # the cache, and one group of codes
+        a, b = starts[5 * j], starts[5 * j + 5]
+        out.append([head, (written[a:b], bits[a:b]), (value[low:stop], n[low:stop])])
+        low = stop
+    return out
 
 
 def _fields_of(bits: _Writer) -> Fields:
@@ -1102,36 +1239,65 @@ def _stored_transforms() -> Fields:
 
 
 def store(payload: bytes, row: int) -> bytes:
-    """A payload of whole rows as an opaque picture of three samples a pixel: a palette where there are few colours,
-    predicted from the pixel before, less what red and green tell of the others; then references, cache hits and
-    literals in prefix codes by the picture's own counts.
+    """A payload of whole rows as an opaque picture; see ``store_all``."""
+    return store_all([payload], row)[0]
+
+
+def store_all(payloads: list[bytes], row: int) -> list[bytes]:
+    """Payloads of whole rows, up to 32 side by side, each as an opaque picture of three samples a pixel: a palette where there are few
+    colours, predicted from the pixel before, less what red and green tell of the others; then references, cache hits
+    and literals in prefix codes by the picture's own counts.
 
     Very long payloads get wider rows, so that the height stays within the format.
     """
-    while len(payload) // row > MAX_SIDE:
-        row *= 2
-    height, width = -(-len(payload) // row), row // 3
-    if width > MAX_SIDE:
-        raise ValueError("a payload beyond what one picture holds")
-    parts = np.full((height, width, 4), 255, np.uint8)
-    parts[:, :, [2, 1, 0]] = np.frombuffer(payload.ljust(height * row, b"\xff"), np.uint8).reshape(height, width, 3)
-    bits = _head(width, height, False)
-    argb = parts.view("<u4").reshape(height, width)
-    if len(set(argb[0, :64].tolist())) <= FEW_COLOURS and len(colours := np.unique(argb)) <= FEW_COLOURS:
-        parts = _write_palette(bits, argb, colours).astype("<u4").view(np.uint8).reshape(height, -1, 4)
-        width = parts.shape[1]
-    less = parts.copy()
-    less[:, 1:] -= parts[:, :-1]
-    less[1:, 0] -= parts[:-1, 0]
-    less[0, 0, 3:] -= np.uint8(255)
-    argb = _green(_cross(less.view("<u4").reshape(-1).astype(np.uint32, copy=False), width, BLOCKS, np.array([ELEMENT], np.uint32), -1), -1)
-    fields = _fields_of(bits), _stored_transforms(), _picture_fields(argb, width)
-    return _riff(_packed(*(np.concatenate(x) for x in zip(*fields, strict=True))))
+    if len(payloads) > TOGETHER:
+        return store_all(payloads[:TOGETHER], row) + store_all(payloads[TOGETHER:], row)
+    heads, pictures, widths, alike = [], [], [], {}
+    for j, payload in enumerate(payloads):
+        wide = row
+        while len(payload) // wide > MAX_SIDE:
+            wide *= 2
+        height, width = -(-len(payload) // wide), wide // 3
+        if width > MAX_SIDE:
+            raise ValueError("a payload beyond what one picture holds")
+        parts = np.full((height, width, 4), 255, np.uint8)
+        parts[:, :, [2, 1, 0]] = np.frombuffer(payload.ljust(height * wide, b"\xff"), np.uint8).reshape(height, width, 3)
+        bits = _head(width, height, False)
+        argb = parts.view("<u4").reshape(height, width)
+        if len(set(argb[0, :64].tolist())) <= FEW_COLOURS and len(colours := np.unique(argb)) <= FEW_COLOURS:
+            parts = _write_palette(bits, argb, colours).astype("<u4").view(np.uint8).reshape(height, -1, 4)
+        heads.append(_fields_of(bits))
+        pictures.append(parts)
+        widths.append(parts.shape[1])
+        alike.setdefault(parts.shape[1], []).append(j)
+    for width, which in alike.items():  # those of one width on top of each other
+        parts = np.concatenate([pictures[j] for j in which])
+        stops = np.cumsum([len(pictures[j]) for j in which])
+        first = np.concatenate([[0], stops[:-1]])
+        less = parts.copy()
+        less[:, 1:] -= parts[:, :-1]
+        less[1:, 0] -= parts[:-1, 0]
+        less[first, 0] = parts[first, 0]
+        less[first, 0, 3] -= np.uint8(255)
+        argb = _green(_cross(less.view("<u4").reshape(-1).astype(np.uint32, copy=False), width, BLOCKS, np.array([ELEMENT], np.uint32), -1), -1)
+        for j, picture in zip(which, np.split(argb, stops[:-1] * width), strict=True):
+            pictures[j] = picture
+    fields = _picture_fields(pictures, widths)
+    return [_riff(body) for body in _packed([[head, _stored_transforms(), *rest] for head, rest in zip(heads, fields, strict=True)])]
 
 
 # ---------------------------------------------------------------- operators
 
 ROW = 576
+#: Bytes of the texts that a task stores and reads side by side, so that arrays fit a processor's cache.
+TOGETHER_BYTES = 40_000
+
+
+@lru_cache(maxsize=1024)
+def _areas(side: int) -> tuple[list[int], list[int]]:
+    """Begins and lengths of up to eight parts of a side."""
+    parts = np.array_split(np.arange(side), min(8, side))
+    return [int(p[0]) for p in parts], [len(p) for p in parts]
 
 
 def feature_of(pixels: np.ndarray) -> str:
@@ -1139,10 +1305,9 @@ def feature_of(pixels: np.ndarray) -> str:
     colours = pixels[:, :, :3]
     flat = colours.reshape(-1, 3)
     grey = colours.sum(axis=2, dtype=np.uint32)
-    rows = np.array_split(np.arange(grey.shape[0]), min(8, grey.shape[0]))
-    columns = np.array_split(np.arange(grey.shape[1]), min(8, grey.shape[1]))
-    sums = np.add.reduceat(np.add.reduceat(grey, [r[0] for r in rows], axis=0, dtype=np.uint64), [c[0] for c in columns], axis=1)
-    sizes = np.outer([len(r) for r in rows], [len(c) for c in columns])
+    (rows, high), (columns, wide) = _areas(grey.shape[0]), _areas(grey.shape[1])
+    sums = np.add.reduceat(np.add.reduceat(grey, rows, axis=0, dtype=np.uint64), columns, axis=1)
+    sizes = np.outer(high, wide)
     bright = (sums * np.uint64(grey.size) > np.uint64(grey.sum(dtype=np.uint64)) * sizes.astype(np.uint64)).reshape(-1)
     marks = "".join("1" if b else "0" for b in bright)
     means, spreads = flat.mean(axis=0), flat.std(axis=0)
@@ -1192,21 +1357,33 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """
 
     def make():
-        def row(given):
-            raw = (given["text"] or "").encode("utf-8", "replace")
-            size = max(ROW, -(-len(raw) // ROW) * ROW)
-            media = store(raw.ljust(size, b"\xff"), ROW)
-            pixels = decode(media)
-            payload = pixels[:, :, :3].tobytes()[:size]
-            return [{
-                "doc_id": given["doc_id"], "n_bytes": len(raw), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
-                "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_of(pixels),
-            }]
-
-        return row
+        def described(rows):
+            payloads = [raw.ljust(max(ROW, -(-len(raw) // ROW) * ROW), b"\xff") for _, raw in rows]
+            media = store_all(payloads, ROW)
+            out = []
+            for (doc_id, raw), stored, pixels in zip(rows, media, decode_all(media), strict=True):
+                payload = pixels[:, :, :3].tobytes()[: max(ROW, -(-len(raw) // ROW) * ROW)]
+                out.append({
+                    "doc_id": doc_id, "n_bytes": len(raw), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(),
+                    "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": feature_of(pixels),
+                })
+            return out
+
+        def batch(given):
+            out, rows, size = [], [], 0
+            for one in given:
+                raw = (one["text"] or "").encode("utf-8", "replace")
+                if rows and (len(rows) == TOGETHER or size + len(raw) > TOGETHER_BYTES):
+                    out += described(rows)
+                    rows, size = [], 0
+                rows.append((one["doc_id"], raw))
+                size += len(raw)
+            return out + (described(rows) if rows else [])
+
+        return batch
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(
+    return map_lists(
         docs.select("doc_id", "text"), make,
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

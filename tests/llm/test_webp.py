@@ -169,7 +169,7 @@ def test_stored_payloads_use_codes_references_cache_and_palette(monkeypatch):
         return out
 
     monkeypatch.setattr(webp._Code, "read", read)
-    monkeypatch.setattr(webp, "_read_arrays", lambda *a: None)
+    monkeypatch.setattr(webp, "_read_arrays", lambda *a: None, raising=False)
     monkeypatch.setattr(webp, "_read_flat", spied_flat)
     monkeypatch.setattr(webp, "_unpalette", lambda *a: palettes.append(1) or unpalette(*a))
     for payload, data, fast in zip(payloads, stored, arrays, strict=True):
@@ -197,3 +197,40 @@ def test_arrays_read_parts_together_as_symbols_do(monkeypatch):
             webp.decode(bytes(raw[: rnd.choice([len(raw), len(raw) - 9])]))
         except webp.Broken:
             pass
+
+
+def test_side_by_side_is_as_one_by_one(monkeypatch):
+    rnd = random.Random(11)
+    words = ["word", "of", "a", "tëxt", "\xff", "日本", "0", "aaaaaaaa", "z" * 50]
+    raws = [" ".join(rnd.choices(words, k=rnd.choice([0, 1, 30, 300, 3000]))).encode() for _ in range(60)]
+    raws += [rnd.randbytes(n) for n in (1, 576, 5000, 40_000)] + [b"", b"ab" * 2000, b"q" * (576 * 16_390), bytes(range(256)) * 40]
+    payloads = [raw.ljust(max(576, -(-len(raw) // 576) * 576), b"\xff") for raw in raws]
+    stored = webp.store_all(payloads, 576)
+    assert stored == [webp.store(p, 576) for p in payloads]
+    for stretch in (webp.STRETCH, 800):
+        monkeypatch.setattr(webp, "STRETCH", stretch)
+        some = [i for i, p in enumerate(payloads) if stretch > 800 or len(p) < 50_000]
+        for payload, pixels in zip([payloads[i] for i in some], webp.decode_all([stored[i] for i in some]), strict=True):
+            assert pixels[:, :, :3].tobytes()[: len(payload)] == payload and (pixels[:, :, 3] == 255).all()
+    mixed = [webp.encode(picture(i, 9 + i, 30 - i), cache_bits=i % 5, references=i % 2 == 0, groups=i % 3) for i in range(12)] + stored[:30]
+    assert all((a == webp.decode(b)).all() for a, b in zip(webp.decode_all(mixed), mixed, strict=True))
+    with pytest.raises(webp.Broken):
+        webp.decode_all([stored[0], stored[1][:-20]])
+
+
+def test_a_hit_on_an_empty_slot_is_read_symbol_by_symbol():
+    """Slots begin as transparent black, which array reading leaves to the symbol reader."""
+    bits = webp._head(10, 10, True)
+    bits.bits(0, 1)
+    bits.bits(1 | 2 << 1, 5)  # a cache of two bits
+    bits.bits(0, 1)
+    lengths = [0] * 284
+    lengths[5], lengths[282] = 1, 1
+    green = webp._write_code(bits, lengths)
+    for one in (7, 8, 255, 0):
+        bits.bits(1 | int(one > 1) << 2, 3)
+        bits.bits(one, 8 if one > 1 else 1)
+    for i in range(100):
+        bits.bits(*green[5 if i % 3 == 0 else 282])
+    pixels = webp.decode(webp._riff(bits.close())).reshape(-1, 4)
+    assert pixels[0].tolist() == [7, 5, 8, 255] and set(map(tuple, pixels.tolist())) <= {(7, 5, 8, 255), (0, 0, 0, 0)}
